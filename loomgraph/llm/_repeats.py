@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from loomgraph.llm._rows import packed, unpacked
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row: within a lambda, Spark would compute it again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def without_repeats(
     docs: DataFrame, runs: Callable[[Column], Column], split: Callable[[str], list[str]], glue: str, run: int, id_col: str, text_col: str, removed: str | None
 ) -> DataFrame:

@@ -9,25 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._repeats import without_repeats
+from loomgraph.llm._repeats import let, without_repeats
 
 #: Lines of a window.
 LINES = 3
 
 
 def _windows(lines: int):  # type: ignore[no-untyped-def]
-    def of(text: Column) -> Column:
-        parts = F.split(text, "\n", -1)
+    def windows(parts: Column) -> Column:
         starts = F.when(F.size(parts) >= lines, F.sequence(F.lit(0), F.size(parts) - lines)).otherwise(F.array().cast("array<int>"))
 
         def window(i: Column) -> Column:
-            run = F.slice(parts, i + 1, F.lit(lines))
-            blank = F.length(F.trim(F.array_join(run, ""))) == 0
-            return F.struct(i.alias("pos"), F.xxhash64(run).alias("h1"), F.xxhash64(F.lit(lines), run).alias("h2"), blank.alias("blank"))
+            return let(F.slice(parts, i + 1, F.lit(lines)), lambda run: F.struct(i.alias("pos"), F.xxhash64(run).alias("h1"), F.xxhash64(F.lit(lines), run).alias("h2"), (F.length(F.trim(F.array_join(run, ""))) == 0).alias("blank")))
 
         return F.filter(F.transform(starts, window), lambda w: ~w.blank)
 
-    return of
+    return lambda text: let(F.split(text, "\n", -1), windows)
 
 
 def dedup_lines(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", text_col: str = "text", removed: str | None = None) -> DataFrame:

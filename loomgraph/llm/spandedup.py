@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._repeats import without_repeats
+from loomgraph.llm._repeats import let, without_repeats
 
 #: Sentences of a span, and the least characters that make it count: shorter runs of short words repeat by chance.
 SENTENCES = 3
@@ -31,17 +31,18 @@ def sentences(text: str) -> list[str]:
 def _spans(count: int, min_chars: int):  # type: ignore[no-untyped-def]
     mark = "\u0001"
 
-    def of(text: Column) -> Column:
-        marked = F.regexp_replace(F.translate(text, mark, "\u0002"), _END, "$1" + mark)
-        parts = F.transform(F.split(marked, mark, -1), lambda s: F.lower(F.trim(F.lit(" \t\r\n"), s)))
+    def spans(parts: Column) -> Column:
         starts = F.when(F.size(parts) >= count, F.sequence(F.lit(0), F.size(parts) - count)).otherwise(F.array().cast("array<int>"))
 
         def span(i: Column) -> Column:
-            run = F.array_join(F.slice(parts, i + 1, F.lit(count)), "\n")
-            return F.struct(i.alias("pos"), F.xxhash64(run).alias("h1"), F.xxhash64(F.lit(count), run).alias("h2"), F.length(run).alias("n"))
+            return let(F.array_join(F.slice(parts, i + 1, F.lit(count)), "\n"), lambda run: F.struct(i.alias("pos"), F.xxhash64(run).alias("h1"), F.xxhash64(F.lit(count), run).alias("h2"), F.length(run).alias("n")))
 
         return F.filter(F.transform(starts, span), lambda s: s.n >= min_chars + count - 1)
 
+    def of(text: Column) -> Column:
+        marked = F.regexp_replace(F.translate(text, mark, "\u0002"), _END, "$1" + mark)
+        return let(F.transform(F.split(marked, mark, -1), lambda s: F.lower(F.trim(s, F.lit(" \t\r\n")))), spans)
+
     return of
 
 
