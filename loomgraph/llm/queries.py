@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import linededup, packing, sharding, spandedup
+from loomgraph.llm import chat, decontam, licenses, linededup, packing, quality, sharding, simhash, spandedup, tokenout
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -36,11 +36,49 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spandedup.dedup_spans(_documents(spark, sf_dir), removed="sentences_removed")
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of token ids with its slot, shard and offset in training order."""
+    return tokenout.ordered_sequences(_documents(spark, sf_dir))
+
+
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every training window of every conversation."""
+    return chat.chat_windows(_table("conversations")(spark, sf_dir))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item that it holds."""
+    return decontam.contaminated(_documents(spark, sf_dir), _table("benchmark")(spark, sf_dir))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document."""
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that repeats another one nearly, with the one that its group keeps."""
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that the quality rule keeps, with its lines and its share of content."""
+    docs = _documents(spark, sf_dir)
+    field = quality.fit(docs, _table("labels")(spark, sf_dir))
+    return quality.assess(docs, field).filter("kept").drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_output": op5_token_output,
+    "op6_chat_windows": op6_chat_windows,
+    "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
+    "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 _SHARD_ROWS = ", ".join(f"({i}, '{s}')" for i, s in enumerate(sharding.SHARDS))
