@@ -31,6 +31,8 @@ LENGTH = 1024
 SHARD_SEQUENCES = 8192
 KEY = "training-order-0"
 ROUNDS = 6
+#: Range partitions at most; each then writes several whole shards.
+MAX_PARTITIONS = 100_000
 
 
 class Order(NamedTuple):
@@ -138,7 +140,8 @@ def ordered_sequences(
 
     placed = arrow_pass(encoded.select("_id", "_part", "_first", "_ids"), _merged(cut), f"_id {id_type}, piece int, slot long, shard int, offset long, n_tokens int, tokens binary")
     shards = max(1, -(-total // shard_sequences))
-    placed = placed.repartitionByRange(min(shards, 10_000), "shard").sortWithinPartitions("slot")
+    partitions = min(shards, MAX_PARTITIONS)
+    placed = placed.repartitionById(partitions, (F.col("shard").cast("long") * partitions / shards).cast("int")).sortWithinPartitions("slot")
     return placed.select(F.col("_id").alias(id_col), "piece", "slot", "shard", "offset", "n_tokens", "tokens")
 
 
@@ -169,7 +172,7 @@ def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH) -> DataF
                 out.close()
                 path = f"{root}/shard-{shard:06d}.bin"
                 os.replace(temporary, path)
-                yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "sequences": n, "sha256": digest.hexdigest()}])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["shard", "path", "sequences", "sha256"])
 
         for batch in source:
             for s, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
