@@ -12,22 +12,14 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import xxhash
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-#: Longest word in bytes whose letters all enter the hash at their own power; longer words repeat the powers.
-_POWERS = 1 << 10
-
-
-def _powers() -> np.ndarray:
-    p = np.ones(_POWERS, dtype=np.uint64)
-    for i in range(1, _POWERS):
-        p[i] = (int(p[i - 1]) * 0x100000001B3 + 0x51) & 0xFFFFFFFFFFFFFFFF | 1
-    return p
-
-
-_POW = _powers()
+#: Spans of more bytes than this are hashed one by one.
+_LONG = 256
+_MASK = np.asarray([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -59,34 +51,33 @@ def words(texts: list[str | None]) -> Words:
     lengths = np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts))
     text_start = np.cumsum(lengths) - lengths
     data = np.frombuffer(joined, dtype=np.uint8)
-    inside = _WORD[data]
+    inside = _WORD[data]  # the last byte is no part of a word
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
         edge = np.concatenate(([0], edge))
     start, end = edge[0::2], edge[1::2]
-    if not len(start):
-        none = np.zeros(0, dtype=np.int64)
-        return Words(np.zeros(0, dtype=np.uint64), none, none, none, data, text_start)
-    return Words(span_hash(data, start, end), np.searchsorted(text_start, start, side="right") - 1, start, end, data, text_start)
+    count = np.diff(np.append(np.searchsorted(start, text_start), len(start)))
+    return Words(span_hash(data, start, end), np.repeat(np.arange(len(parts)), count), start, end, data, text_start)
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each [start, end); spans are sorted and don't overlap; an empty span gives mix64(0)."""
-    out = np.zeros(len(start), dtype=np.uint64)
+    """64-bit hash of the bytes of each [start, end). A hash depends on its bytes alone.
+
+    Spans are read eight bytes at a time, all together; the few long ones are hashed by themselves.
+    """
     size = end - start
-    full = np.flatnonzero(size > 0)
-    if not len(full):
-        return out
-    s, n = start[full], size[full]
-    first = np.cumsum(n) - n
-    at = np.arange(int(n.sum()), dtype=np.int64)
-    rel = at - np.repeat(first, n)
-    byte = data[np.repeat(s, n) + rel]
-    value = (byte.astype(np.uint64) + np.uint64(1)) * _POW[rel & (_POWERS - 1)]
-    long = rel >= _POWERS
-    if long.any():
-        value[long] = mix64(value[long] + (rel[long].astype(np.uint64) >> np.uint64(10)) * _MULT)
-    out[full] = mix64(np.add.reduceat(value, first) + n.astype(np.uint64) * _MULT)
+    out = mix64(size.astype(np.uint64) * _MULT)
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    long = np.flatnonzero(size > _LONG)
+    left = np.flatnonzero((size > 0) & (size <= _LONG)) if len(long) else np.flatnonzero(size > 0)
+    at = 0
+    while len(left):
+        rest = size[left] - at
+        out[left] = mix64((out[left] ^ (eight[start[left] + at] & _MASK[np.minimum(rest, 8)])) * _MULT + np.uint64(1))
+        left, at = left[rest > 8], at + 8
+    for i in long.tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
     return out
 
 

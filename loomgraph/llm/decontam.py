@@ -4,9 +4,11 @@
    works on this table.
 2. Passages are windows of two blocks of ``BLOCK`` words, a block apart. Passage frequencies over the whole corpus and the benchmark
    give TF-IDF weights.
-3. A randomised SVD of the TF-IDF matrix of passages and benchmark items, distributed over the corpus, gives the latent space. The items
-   have as much weight in it together as the corpus, so that their directions are kept.
+3. A randomised SVD of the TF-IDF matrix of passages and benchmark items, distributed over the corpus, gives the latent space. One pass
+   multiplies the sketch by the matrix and its transpose; Nyström's formula then gives the singular vectors. The items have as much weight
+   together as the corpus, so that their directions are kept.
 4. Each passage is compared with every item; a cosine of ``COSINE`` makes a candidate.
+   Candidates with too few of the item's words around the passage can't reach 5 and are discarded.
 5. A candidate is contaminated if the longest common subsequence of the item and the words around the passage covers ``COVERED`` of the
    item, and that of its answer ``ANSWERED`` of the answer. Paraphrases that keep most words in order are caught with exact copies.
 
@@ -29,10 +31,10 @@ from loomgraph.llm._text import words
 
 #: Words of a block; a passage has two.
 BLOCK = 32
-#: Dimensions of the latent space, columns beyond them in the sketch, and passes over the corpus after the first.
-RANK, OVERSAMPLE, POWER_STEPS = 224, 16, 1
+#: Dimensions of the latent space, and columns beyond them in the sketch.
+RANK, OVERSAMPLE = 96, 16
 #: Least cosine of a candidate, least share of the item's words and of its answer's words in the common subsequence.
-COSINE, COVERED, ANSWERED = 0.4, 0.6, 0.5
+COSINE, COVERED, ANSWERED = 0.45, 0.6, 0.5
 #: The last part of an item counts as its answer.
 ANSWER_SHARE = 0.25
 #: Items of one latent space; with their words, they bound what is broadcast.
@@ -126,15 +128,21 @@ def blocks(pos: list[bytes], term: list[bytes], number_of: np.ndarray | None = N
 
 
 def block_vectors(b: Blocks, project: np.ndarray) -> np.ndarray:
-    """Sum of the words' rows of ``project`` for each block."""
-    if not len(b.doc):
-        return np.zeros((0, project.shape[1]), dtype=np.float32)
+    """Sum of the words' rows of ``project`` for each block: the k-th words of all blocks are added at once."""
     out = np.zeros((len(b.doc), project.shape[1]), dtype=np.float32)
     used = project.any(axis=1)[b.term]
     block, term = b.block[used], b.term[used]
-    if len(block):
-        start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        out[block[start]] = np.add.reduceat(project[term], start, axis=0)
+    if not len(block):
+        return out
+    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    size = np.diff(np.append(first, len(block)))
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    sums = project[term[first]]
+    for k in range(1, int(size[0])):
+        n = int(np.searchsorted(-size, -k))
+        sums[:n] += project[term[first[:n] + k]]
+    out[block[first]] = sums
     return out
 
 
@@ -185,42 +193,46 @@ def fit(table: DataFrame, items: Items, number_of: np.ndarray, rank: int = RANK)
     own *= idf
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
     sketch = min(rank + OVERSAMPLE, terms)
-    q = np.random.default_rng(_SEED).standard_normal((terms, sketch)).astype(np.float32)
+    q = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((terms, sketch)))[0]
     spark = table.sparkSession
-    renumber = spark.sparkContext.broadcast(number_of)
-    for _ in range(POWER_STEPS + 1):
-        held = spark.sparkContext.broadcast(idf[:, None] * q)
-
-        def product(source: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
-            total, rows = np.zeros((terms, sketch), dtype=np.float32), 0
-            for batch in source:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    b = blocks(part.column(0).to_pylist(), part.column(1).to_pylist(), renumber.value)
-                    if not len(b.doc):
-                        continue
-                    useful = idf[b.term] > 0
-                    b = Blocks(b.block[useful], b.term[useful], b.doc, b.number)
-                    # Rows of unit length, a block with a term twice counting it so.
-                    pair, times = np.unique(b.block * terms + b.term, return_counts=True)
-                    norm = np.zeros(len(b.doc))
-                    np.add.at(norm, pair // terms, (times * idf[pair % terms]) ** 2)
-                    y = block_vectors(b, held.value) / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
-                    rows += int((norm > 0).sum())
-                    order = np.argsort(b.term, kind="stable")
-                    t = b.term[order]
-                    if len(t):
-                        start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-                        total[t[start]] += np.add.reduceat(y[b.block[order]], start, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(total.ravel(), np.float32(rows)).tobytes()], pa.binary())], ["v"])
-
-        got = _summed(table.select("pos", "term").mapInArrow(product, "v binary"), terms * sketch + 1)
-        corpus, rows = got[:-1].reshape(terms, sketch) * idf[:, None], max(got[-1], 1.0)
-        y = corpus / rows + own.T @ (own @ q) / len(own)
-        q = np.linalg.qr(y)[0].astype(np.float32)
-    q = q[:, :rank]
-    latent = own @ q
-    return Model(np.ascontiguousarray(idf[:, None] * q, dtype=np.float32), latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9))
+    renumber, held = spark.sparkContext.broadcast(number_of), spark.sparkContext.broadcast((idf[:, None] * q).astype(np.float32))
+
+    def product(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((terms, sketch), dtype=np.float32), 0
+        for batch in source:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                b = blocks(part.column(0).to_pylist(), part.column(1).to_pylist(), renumber.value)
+                useful = idf[b.term] > 0
+                b = Blocks(b.block[useful], b.term[useful], b.doc, b.number)
+                if not len(b.term):
+                    continue
+                # Rows of unit length, a block with a term twice counting it so.
+                pair, times = np.unique(b.block * terms + b.term, return_counts=True)
+                norm = np.bincount(pair // terms, (times * idf[pair % terms]) ** 2, minlength=len(b.doc))
+                y = block_vectors(b, held.value) / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
+                rows += int((norm > 0).sum())
+                order = np.argsort(b.term, kind="stable")
+                t = b.term[order]
+                start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+                total[t[start]] += np.add.reduceat(y[b.block[order]], start, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([np.append(total.ravel(), np.float32(rows)).tobytes()], pa.binary())], ["v"])
+
+    got = _summed(table.select("pos", "term").mapInArrow(product, "v binary"), terms * sketch + 1)
+    corpus, rows = got[:-1].reshape(terms, sketch) * idf[:, None], max(got[-1], 1.0)
+    return latent_model(idf, own, q, corpus / rows + own.T @ (own @ q) / len(own), rank)
+
+
+def latent_model(idf: np.ndarray, own: np.ndarray, q: np.ndarray, sketch: np.ndarray, rank: int) -> Model:
+    """The model from ``sketch``, the product of the passages' Gram matrix with the orthonormal ``q``: singular vectors by Nyström's formula."""
+    shift = 1e-6 * max(float(np.linalg.norm(sketch)), 1e-9)  # keeps the small matrix positive
+    y = sketch + shift * q
+    small = q.T @ y
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    root = vectors / np.sqrt(np.maximum(values, shift))
+    v = np.linalg.svd(y @ root, full_matrices=False)[0][:, :rank]
+    latent = own @ v
+    return Model(np.ascontiguousarray(idf[:, None] * v, dtype=np.float32), (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32))
 
 
 def common(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
@@ -248,64 +260,91 @@ def check(item: np.ndarray, near: np.ndarray) -> tuple[float, float]:
 
 
 def scan(table: DataFrame, items: Items, number_of: np.ndarray, model: Model) -> DataFrame:
-    """(_id, _k, item, cosine, covered, answered) of contaminated documents, the best passage for each item."""
+    """(_id, _k, item, cosine, covered, answered) of contaminated documents: for each item the passage with the highest cosine that holds it, the first of equals."""
     spark = table.sparkSession
     held = spark.sparkContext.broadcast((items, number_of, model))
     id_type = dict(table.dtypes)["_id"]
 
     def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, number_of, model = held.value
+        times = word_counts(items)
         for batch in source:
             for at in range(0, batch.num_rows, 500):
-                yield found(batch.slice(at, 500))
-
-    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        items, number_of, model = held.value
-        pos, term = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        b = blocks(pos, term, number_of)
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for doc, block, item, cosine in candidates(b, model):
-            if doc not in seen:
-                p, t = np.frombuffer(pos[doc], dtype="<i4"), number_of[np.frombuffer(term[doc], dtype="<i4")]
-                seen[doc] = p[t >= 0], t[t >= 0]
-            p, t = seen[doc]
-            words_of = items.terms[item]
-            reach = len(words_of) * 3 // 2
-            a, z = np.searchsorted(p, (block * BLOCK - reach, (block + 2) * BLOCK + reach))
-            near = t[a:z]
-            if len(near) < COVERED * len(words_of) or np.isin(words_of, near).mean() < COVERED:  # bounds the subsequence from above
-                continue
-            covered, answered = check(words_of, near)
-            if covered >= COVERED and answered >= ANSWERED:
-                best[doc, item] = max(best.get((doc, item), (0.0, 0.0, 0.0)), (covered, answered, cosine))
-        docs, hit = [k[0] for k in best], list(best.items())
-        take = pa.array(docs, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(take), batch.column(1).take(take), pa.array([items.ids[k[1]] for k, _ in hit], pa.int64()),
-                pa.array([v[2] for _, v in hit], pa.float64()), pa.array([v[0] for _, v in hit], pa.float64()), pa.array([v[1] for _, v in hit], pa.float64()),
-            ],
-            ["_id", "_k", "item", "cosine", "covered", "answered"],
-        )
+                part = batch.slice(at, 500)
+                hit = contained(part.column(2).to_pylist(), part.column(3).to_pylist(), items, number_of, model, times)
+                take = pa.array([h[0] for h in hit], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), pa.array([items.ids[h[1]] for h in hit], pa.int64()), *(pa.array([h[k] for h in hit], pa.float64()) for k in (2, 3, 4))],
+                    ["_id", "_k", "item", "cosine", "covered", "answered"],
+                )
 
     return table.select("_id", "_k", "pos", "term").mapInArrow(find, f"_id {id_type}, _k long, item long, cosine double, covered double, answered double")
 
 
-def candidates(b: Blocks, model: Model, cosine: float = COSINE) -> Iterator[tuple[int, int, int, float]]:
+def word_counts(items: Items) -> np.ndarray:
+    """How often each item has each word of the vocabulary."""
+    out = np.zeros((len(items.terms), len(items.vocab)), dtype=np.uint8)
+    for i, t in enumerate(items.terms):
+        term, n = np.unique(t, return_counts=True)
+        out[i, term] = np.minimum(n, 255)
+    return out
+
+
+def contained(pos: list[bytes], term: list[bytes], items: Items, number_of: np.ndarray, model: Model, times: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+    """(document, item, cosine, covered, answered) of the items that documents hold, given as ``benchmark_words`` does."""
+    b = blocks(pos, term, number_of)
+    doc, block, item, cosine = candidates(b, model)
+    if not len(doc):
+        return []
+    t = number_of[np.frombuffer(b"".join(term), dtype="<i4")]
+    keep = t >= 0
+    t, of = t[keep], np.repeat(np.arange(len(pos)), [len(x) // 4 for x in pos])[keep]
+    place = of.astype(np.int64) << 32 | np.frombuffer(b"".join(pos), dtype="<i4")[keep]
+    size = np.asarray([len(x) for x in items.terms])[item]
+    reach = size * 3 // 2
+    first = np.searchsorted(place, doc << 32 | np.maximum(block * BLOCK - reach, 0))
+    end = np.searchsorted(place, (doc << 32) + (block + 2) * BLOCK + reach)
+    # The words in common, each as often as both have it, bound the subsequence from above.
+    bound = np.zeros(len(doc))
+    for at in range(0, len(doc), 10_000):
+        s = slice(at, at + 10_000)
+        n = end[s] - first[s]
+        c = np.repeat(np.arange(len(n)), n)
+        word = t[np.repeat(first[s] - (np.cumsum(n) - n), n) + np.arange(len(c))]
+        shared = times[item[s][c], word] > 0
+        pair, count = np.unique(c[shared] * times.shape[1] + word[shared], return_counts=True)
+        c, word = pair // times.shape[1], pair % times.shape[1]
+        bound[s] = np.bincount(c, np.minimum(count, times[item[s][c], word]), minlength=len(n))
+    able = np.flatnonzero(bound >= COVERED * size)
+    out, done = [], set()
+    for k in able[np.lexsort((block[able], -cosine[able]))].tolist():
+        key = (int(doc[k]), int(item[k]))
+        if key not in done:
+            covered, answered = check(items.terms[item[k]], t[first[k] : end[k]])
+            if covered >= COVERED and answered >= ANSWERED:
+                done.add(key)
+                out.append((*key, float(cosine[k]), covered, answered))
+    return out
+
+
+def candidates(b: Blocks, model: Model, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first block, item, cosine) of passages near an item: each block alone and with the one after it."""
     y = block_vectors(b, model.project)
-    if not len(y):
-        return
-    follows = np.concatenate(((b.doc[1:] == b.doc[:-1]) & (b.number[1:] == b.number[:-1] + 1), [False]))
+    follows = np.concatenate(((b.doc[1:] == b.doc[:-1]) & (b.number[1:] == b.number[:-1] + 1), [False])) if len(y) else np.zeros(0, dtype=bool)
+    found = []
     for both in (False, True):
         at = np.flatnonzero(follows) if both else np.arange(len(y))
         v = y[at] + y[at + 1] if both else y
-        size = np.linalg.norm(v, axis=1)
+        size = np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
         for s in range(0, len(at), 4096):
-            cos = (v[s : s + 4096] @ model.items.T) / np.maximum(size[s : s + 4096], 1e-9)[:, None]
-            for r, i in zip(*np.nonzero(cos >= cosine)):
-                k = at[s + r]
-                yield int(b.doc[k]), int(b.number[k]), int(i), float(cos[r, i])
+            cos = v[s : s + 4096] @ model.items.T / size[s : s + 4096]
+            r, i = np.nonzero(cos >= cosine)
+            found.append((b.doc[at[s + r]], b.number[at[s + r]], i, cos[r, i]))
+    if not found:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.astype(np.float32)
+    doc, block, item, cos = (np.concatenate(x) for x in zip(*found))
+    return doc.astype(np.int64), block.astype(np.int64), item.astype(np.int64), cos
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -330,7 +369,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item_id, cosine, covered, answered): each document with each benchmark item that it holds.
 
     ``covered`` and ``answered`` are the shares of the item and of its answer, the last quarter of its words, in the common
-    subsequence; of several passages the best counts. Null and empty texts hold nothing; neither do items without words. Rows equal in id and text come out
+    subsequence, in the passage with the highest cosine that holds the item. Null and empty texts hold nothing; neither do items without words. Rows equal in id and text come out
     alike, once for each. Long texts count whole. Other columns aren't read, so their names can't clash. An empty
     table or benchmark gives an empty result.
     """
