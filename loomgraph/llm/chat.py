@@ -79,8 +79,8 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
     read, so their names can't clash. An empty table gives an empty result.
     """
     id_type = dict(conversations.dtypes)["conv_id"]
-    rows = conversations.select("conv_id", "turn", "role", "text").filter("role IS NOT NULL AND text IS NOT NULL").distinct()
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = conversations.select("conv_id", "turn", "role", "text").filter("role IS NOT NULL AND text IS NOT NULL")
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
 
     def form(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
