@@ -61,7 +61,16 @@ def file_dependents(edges: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
     return imports.unionByName(uses).select("file_path").distinct().filter(F.col("file_path") != path)
 
 
-def first_per(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row by ``ord`` for each key."""
-    w = Window.partitionBy(*keys).orderBy("ord")
+def dependents(edges: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """(file_path) of files that depend on another one of ``changed`` (file_path); ``file_dependents`` for many."""
+    files = changed.select(F.col("file_path").alias("_of")).distinct()
+    imports = edges.filter(F.col("kind").isin("IMPORTS", "IMPORTS_FROM")).join(files, F.col("target_qualified") == F.col("_of"))
+    inside = nodes.join(files, F.col("file_path") == F.col("_of")).select(F.col("qualified_name").alias("target_qualified"), "_of")
+    uses = edges.filter(F.col("kind").isin(DEPENDENT_KINDS)).join(inside, "target_qualified")
+    return imports.select("file_path", "_of").unionByName(uses.select("file_path", "_of")).filter("file_path <> _of").select("file_path").distinct()
+
+
+def first_per(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The first row by ``ord``, or by the given columns, for each key."""
+    w = Window.partitionBy(*keys).orderBy(*(order or ["ord"]))
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -62,7 +62,7 @@ def impact(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: in
     found = staged(nodes.join(reached, "qualified_name"), "impact")
     others = found.filter("depth > 0")
     total = others.count()
-    kept = others.orderBy("depth", "qualified_name").limit(max_nodes)
+    kept = others.orderBy("depth", "qualified_name").limit(max_nodes) if total > max_nodes else others
     start = found.filter("depth = 0")
     names = start.select("qualified_name").unionByName(kept.select("qualified_name"))
     return Impact(start, kept, kept.select("file_path").distinct(), edges_among(edges, names), total, total > max_nodes)

@@ -24,8 +24,9 @@ def _raw_target(edges: DataFrame) -> DataFrame:
 
 
 def _edge(rows: DataFrame, kind, extra, line, base: int) -> DataFrame:  # type: ignore[no-untyped-def]
-    rows = rows.select(kind.alias("kind"), "source_qualified", F.col("target").alias("target_qualified"), "file_path", line.cast("int").alias("line"), extra.alias("extra"), (F.lit(_BASE + base) + F.col("ord")).alias("ord"))
-    return first_per(rows, ["source_qualified", "target_qualified"])
+    within = F.col("_within") if "_within" in rows.columns else F.lit(0)
+    rows = rows.select(kind.alias("kind"), "source_qualified", F.col("target").alias("target_qualified"), "file_path", line.cast("int").alias("line"), extra.alias("extra"), (F.lit(_BASE + base) + F.col("ord")).alias("ord"), within.alias("_within"))
+    return first_per(rows, ["source_qualified", "target_qualified"], ["ord", "_within"]).drop("_within")
 
 
 def calls_to_config(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def calls_to_config(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     python = nodes.filter("language = 'python'").select(F.col("qualified_name").alias("source_qualified"))
     readers = calls.filter(last_segment(F.col("target_qualified")).isin(*YAML_CALLS)).join(python, "source_qualified", "left_semi").select("source_qualified", "file_path", "line", "ord")
     refs = calls.filter(F.col("ref").endswith(".yaml") | F.col("ref").endswith(".yml")).select("file_path", "ref", F.col("ord").alias("_ref_ord"))
-    found = resolve_refs(readers.join(refs, "file_path"), nodes).withColumn("ord", F.col("ord") * 1_000_003 + F.col("_ref_ord"))
+    found = resolve_refs(readers.join(refs, "file_path"), nodes).withColumn("_within", F.col("_ref_ord"))
     return _edge(found, F.lit("READS_CONFIG"), F.to_json(F.struct(F.lit("crossref").alias("detected_by"), F.col("ref").alias("config_file"))), F.col("line"), 0)
 
 
@@ -47,7 +48,7 @@ def calls_to_template(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def text_to_file(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """READS_CONFIG and RENDERS: file functions in the values of HCL blocks."""
     refs = nodes.filter("language = 'hcl'").select(F.col("qualified_name").alias("source_qualified"), "file_path", "ord", F.posexplode(F.regexp_extract_all("extra", F.lit(FILE_CALL), 1)).alias("_i", "ref"))
-    refs = refs.filter(F.col("ref").rlike(r"\.(yaml|yml|json|j2|tpl)$")).withColumn("ord", F.col("ord") * 1000 + F.col("_i"))
+    refs = refs.filter(F.col("ref").rlike(r"\.(yaml|yml|json|j2|tpl)$")).withColumn("_within", F.col("_i"))
     kind = F.when(F.col("ref").rlike(r"\.(j2|tpl)$"), "RENDERS").otherwise("READS_CONFIG")
     return _edge(resolve_refs(refs, nodes), kind, F.to_json(F.struct(F.lit("crossref").alias("detected_by"), F.col("ref").alias("reference"))), F.lit(0), 2 << 57)
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import columns as C
-from loomgraph.operators import joins, lookup, patterns, stats, store, traverse
+from loomgraph.operators import ingest, joins, lookup, patterns, stats, store, traverse, xref
 from loomgraph.operators.schema import DEPENDENCY_KINDS
+from loomgraph.operators.tables import shared_dir
 from loomgraph.plans.projection import duckdb_graph, graph
+from loomgraph.sources.registry import parse_files, parsed_nodes
+from loomgraph.streaming.ingest import apply_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -222,8 +226,8 @@ _query(
 
 # Scalar functions, over the text tables.
 _query("ignore_filter", lambda s, d: _pages(s, d).filter(~C.matches_any(F.col("url"), ["*.example/*1", "http*/?*7"])).select("page_id"), "SELECT page_id FROM pages WHERE NOT regexp_full_match(url, '(.*\\.example/.*1)|(http.*/..*7)')")
-_query("extension_filter", lambda s, d: _pages(s, d).select("page_id", C.suffix(F.concat("url", F.lit(".Html"))).alias("suffix"), C.base_name(F.col("url")).alias("base"), C.parent_dir(F.col("url")).alias("folder")), "SELECT page_id, '.html' AS suffix, list_last(string_split(url, '/')) AS base, regexp_replace(url, '/[^/]*$', '') AS folder FROM pages")
-_query("binary_sniff", lambda s, d: _pages(s, d).select("page_id", C.has_binary_mark(F.concat(F.col("html"), F.when(F.col("page_id") % 2 == 0, F.lit("\x00")).otherwise(F.lit(""))).cast("binary")).alias("binary")), "SELECT page_id, page_id % 2 = 0 AND octet_length(html::BLOB) < 8192 AS binary FROM pages")
+_query("extension_filter", lambda s, d: _pages(s, d).select("page_id", C.suffix(F.concat("url", F.lit(".Html"))).alias("suffix"), C.base_name(F.col("url")).alias("base"), C.parent_dir(F.col("url")).alias("folder")), "SELECT page_id, CASE WHEN url LIKE '%/' THEN '' ELSE '.html' END AS suffix, list_last(string_split(url, '/')) AS base, regexp_replace(url, '/[^/]*$', '') AS folder FROM pages")
+_query("binary_sniff", lambda s, d: _pages(s, d).select("page_id", C.has_binary_mark(F.concat(F.col("html"), F.when(F.col("page_id") % 2 == 0, F.lit("\x00")).otherwise(F.lit(""))).cast("binary")).alias("binary")), "SELECT page_id, page_id % 2 = 0 AND octet_length(encode(html)) < 8192 AS binary FROM pages")
 _query("sanitize_names", lambda s, d: _pages(s, d).select("page_id", C.sanitize(F.concat(F.lit("\x01\r"), "html")).alias("name")), "SELECT page_id, substr(regexp_replace(html, '[\\x00-\\x08\\x0B-\\x1F]', '', 'g'), 1, 256) AS name FROM pages")
 _query("line_counts", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", C.line_count(F.col("text")).alias("lines")), "SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines FROM documents")
 _query("collapse_spaces", lambda s, d: _pages(s, d).select("page_id", C.collapse_spaces(F.col("html")).alias("html")), "SELECT page_id, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS html FROM pages")
@@ -232,3 +236,127 @@ _query(
     """WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END AS ls FROM documents)
 SELECT doc_id, array_to_string(list_transform(ls[1:5], lambda x, i: i || ': ' || x), chr(10)) || CASE WHEN len(ls) > 5 THEN chr(10) || '... (' || (len(ls) - 5) || ' more lines)' ELSE '' END AS snippet FROM l""",
 )
+
+
+# Detectors of edges across files, over code-like rows made from the tables.
+def _detected(name: str, detector: Callable[[DataFrame, DataFrame], DataFrame], nodes: str, edges: str, oracle: str) -> None:
+    """``nodes`` and ``edges`` are SQL over the views in braces; every detector gets whole tables."""
+
+    def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = {v: spark.read.parquet(f"{sf_dir}/{v}.parquet") for v in ("orders", "customer", "supplier", "pages")}
+        n, e = (spark.sql(q, **{k: v for k, v in t.items() if "{" + k + "}" in q}) for q in (nodes, edges))
+        return detector(n, e).select("kind", "source_qualified", "target_qualified", "line")
+
+    _query(name, rows, oracle)
+
+
+_CODE_NODES = (
+    "SELECT 'Function' AS kind, concat('f', o_orderkey) AS name, concat('/o/', o_custkey, '.py::f', o_orderkey) AS qualified_name, concat('/o/', o_custkey, '.py') AS file_path, 'python' AS language, '{{}}' AS extra, o_orderkey AS ord FROM {orders} "
+    "UNION ALL SELECT 'File', concat(s_suppkey, '.yaml'), concat('/s/', s_suppkey, '.yaml'), concat('/s/', s_suppkey, '.yaml'), 'yaml', '{{}}', s_suppkey FROM {supplier} "
+    "UNION ALL SELECT 'File', concat(s_suppkey, '.j2'), concat('/s/', s_suppkey, '.j2'), concat('/s/', s_suppkey, '.j2'), 'jinja2', '{{}}', s_suppkey FROM {supplier}"
+).replace("'{{}}'", "''")
+_CODE_EDGES = (
+    "SELECT 'CALLS' AS kind, concat('/o/', o_custkey, '.py::f', o_orderkey) AS source_qualified, CASE WHEN o_orderkey % 3 = 0 THEN 'yaml::safe_load' ELSE 'env::get_template' END AS target_qualified, concat('/o/', o_custkey, '.py') AS file_path, "
+    "CAST(o_orderkey % 100 AS INT) AS line, to_json(named_struct('raw_target', concat('x/', o_orderkey % 150, CASE WHEN o_orderkey % 2 = 0 THEN '.yaml' ELSE '.j2' END))) AS extra, o_orderkey AS ord FROM {orders}"
+)
+_detected(
+    "xref_call_config", xref.calls_to_config, _CODE_NODES, _CODE_EDGES,
+    """WITH c AS (SELECT o_custkey AS f, o_orderkey AS k FROM orders),
+r AS (SELECT a.f, a.k, b.k % 150 AS s FROM c a JOIN c b USING (f) JOIN supplier ON s_suppkey = b.k % 150 WHERE a.k % 3 = 0 AND b.k % 2 = 0)
+SELECT 'READS_CONFIG' AS kind, '/o/' || f || '.py::f' || k AS source_qualified, '/s/' || s || '.yaml' AS target_qualified, (k % 100)::INT AS line FROM r GROUP BY f, k, s""",
+)
+_detected(
+    "xref_call_template", xref.calls_to_template, _CODE_NODES, _CODE_EDGES,
+    """SELECT 'RENDERS' AS kind, '/o/' || o_custkey || '.py::f' || o_orderkey AS source_qualified, '/s/' || s_suppkey || CASE WHEN o_orderkey % 2 = 0 THEN '.yaml' ELSE '.j2' END AS target_qualified, (o_orderkey % 100)::INT AS line
+FROM orders JOIN supplier ON s_suppkey = o_orderkey % 150 WHERE o_orderkey % 3 <> 0""",
+)
+_HCL_NODES = (
+    "SELECT 'Local' AS kind, concat('l', o_orderkey) AS name, concat('/h/', o_orderkey % 9, '/m.tf::l', o_orderkey) AS qualified_name, concat('/h/', o_orderkey % 9, '/m.tf') AS file_path, 'hcl' AS language, "
+    "to_json(named_struct('value', concat('yamldecode(file(\"c/', o_custkey, '.yaml\")) templatefile(\"', o_orderkey % 150, '.j2\", var.x) file(\"', o_custkey, '.txt\")'))) AS extra, o_orderkey AS ord FROM {orders} "
+    "UNION ALL SELECT 'File', concat(s_suppkey, '.yaml'), concat('/s/', s_suppkey, '.yaml'), concat('/s/', s_suppkey, '.yaml'), 'yaml', '', s_suppkey FROM {supplier} "
+    "UNION ALL SELECT 'File', concat(s_suppkey, '.j2'), concat('/s/', s_suppkey, '.j2'), concat('/s/', s_suppkey, '.j2'), 'jinja2', '', s_suppkey FROM {supplier}"
+)
+_detected(
+    "xref_text_refs", xref.text_to_file, _HCL_NODES, _CODE_EDGES,
+    """WITH n AS (SELECT o_orderkey AS k, '/h/' || o_orderkey % 9 || '/m.tf::l' || o_orderkey AS q, 'yamldecode(file("c/' || o_custkey || '.yaml")) templatefile("' || o_orderkey % 150 || '.j2", var.x) file("' || o_custkey || '.txt")' AS v FROM orders),
+r AS (SELECT q, unnest(regexp_extract_all(v, '(?:file|yamldecode|templatefile)\\s*\\(\\s*"([^"]+)"', 1)) AS ref FROM n),
+f AS (SELECT s_suppkey || '.yaml' AS base FROM supplier UNION ALL SELECT s_suppkey || '.j2' FROM supplier)
+SELECT DISTINCT CASE WHEN ref LIKE '%.j2' THEN 'RENDERS' ELSE 'READS_CONFIG' END AS kind, q AS source_qualified, '/s/' || base AS target_qualified, 0 AS line FROM r JOIN f ON base = list_last(string_split(ref, '/'))""",
+)
+_REMOTE_NODES = (
+    "SELECT 'DataSource' AS kind, concat('terraform_remote_state.c', c_custkey % 20) AS name, concat('/h/', c_nationkey, '/m.tf::terraform_remote_state.c', c_custkey % 20) AS qualified_name, concat('/h/', c_nationkey, '/m.tf') AS file_path, 'hcl' AS language, '' AS extra, c_custkey AS ord FROM {customer} "
+    "UNION ALL SELECT 'Output', concat('o', s_suppkey), concat('/h/', s_nationkey, '/m.tf::o', s_suppkey), concat('/h/', s_nationkey, '/m.tf'), 'hcl', "
+    "to_json(named_struct('value', concat('data.terraform_remote_state.c', s_suppkey % 20, '.outputs.o', s_suppkey % 7))), s_suppkey FROM {supplier}"
+)
+_detected(
+    "xref_remote_outputs", xref.remote_outputs, _REMOTE_NODES, _CODE_EDGES,
+    """WITH d AS (SELECT DISTINCT c_nationkey AS n, c_custkey % 20 AS c FROM customer), u AS (SELECT DISTINCT s_nationkey AS n, s_suppkey % 20 AS c, s_suppkey % 7 AS o FROM supplier)
+SELECT 'REMOTE_STATE' AS kind, '/h/' || d.n || '/m.tf::terraform_remote_state.c' || d.c AS source_qualified, '/h/' || s.s_nationkey || '/m.tf::o' || s.s_suppkey AS target_qualified, 0 AS line
+FROM d JOIN u ON u.n = d.n AND u.c = d.c JOIN supplier s ON s.s_suppkey = u.o WHERE s.s_nationkey <> d.n""",
+)
+
+
+# Parsers and builds, over files made from rows.
+def _made_files(ending: str, text: str) -> Query:
+    """A parser's rows for one file a customer, its text made of the customer's columns."""
+
+    def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = spark.sql("SELECT concat('/c/', c_custkey, '" + ending + "') AS file_path, CAST(" + text + " AS BINARY) AS content FROM {customer}", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+        parsed = parse_files(made)
+        return parsed_nodes(parsed).select("kind", "name", "file_path", "line_start", "line_end")
+
+    return rows
+
+
+_query(
+    "parse_python", _made_files(".py", "concat('import os\\n\\nclass C', c_custkey, ':\\n    def m(self):\\n        return os.getcwd()\\n')"),
+    """SELECT unnest(['File', 'Class', 'Method']) AS kind, unnest([c_custkey || '.py', 'C' || c_custkey, 'm']) AS name, '/c/' || c_custkey || '.py' AS file_path, unnest([1, 3, 4])::INT AS line_start, unnest([6, 5, 5])::INT AS line_end FROM customer""",
+)
+_query(
+    "parse_hcl", _made_files(".tf", "concat('variable \"v', c_nationkey, '\" { default = 1 }\\nresource \"a_b\" \"r\" { x = var.v }\\n')"),
+    """SELECT unnest(['File', 'Variable', 'Resource']) AS kind, unnest([c_custkey || '.tf', 'v' || c_nationkey, 'a_b.r']) AS name, '/c/' || c_custkey || '.tf' AS file_path, 0 AS line_start, 0 AS line_end FROM customer""",
+)
+_query(
+    "parse_yaml", _made_files(".yaml", "concat('segment: ', c_mktsegment, '\\nn', c_nationkey, ': &a {k: 1}\\n')"),
+    """SELECT unnest(['File', 'Anchor', 'Section', 'Section']) AS kind, unnest([c_custkey || '.yaml', '&a', 'segment', 'n' || c_nationkey]) AS name, '/c/' || c_custkey || '.yaml' AS file_path, unnest([1, 2, 1, 2])::INT AS line_start, unnest([3, 2, 1, 2])::INT AS line_end FROM customer""",
+)
+_query(
+    "parse_jinja", _made_files(".j2", "concat('{{% block b', c_nationkey, ' %}}\\n{{{{ v }}}}{{% endblock %}}')"),
+    """SELECT unnest(['File', 'Template', 'Block', 'Variable']) AS kind, unnest([c_custkey || '.j2', 'template', 'b' || c_nationkey, 'v']) AS name, '/c/' || c_custkey || '.j2' AS file_path, unnest([1, 1, 1, 2])::INT AS line_start, unnest([2, 2, 2, 2])::INT AS line_end FROM customer""",
+)
+
+
+def _repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Terraform file for each customer, which reads a YAML file of its nation."""
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    return spark.sql(
+        "SELECT concat('/repo/c', c_custkey, '.tf') AS file_path, CAST(concat('locals { a = yamldecode(file(\"n', c_nationkey, '.yaml\")) }\n') AS BINARY) AS content FROM {customer} "
+        "UNION ALL SELECT concat('/repo/n', n_nationkey, '.yaml'), CAST('name: n\n' AS BINARY) FROM {nation}", customer=customer, nation=nation,
+    )
+
+
+def _built(spark: SparkSession, sf_dir: str) -> store.GraphStore:
+    held = store.GraphStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    ingest.build_files(held, _repository(spark, sf_dir), ["/repo"])
+    return held
+
+
+def _full_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).edges.groupBy("kind", "target_qualified").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the build, customers with even keys lose their files; the others get new contents, but for every third, which is the same again."""
+    held, files = _built(spark, sf_dir), _repository(spark, sf_dir).filter("file_path LIKE '%.tf'")
+    key = F.regexp_extract("file_path", r"(\d+)\.tf$", 1).cast("long")
+    changed = files.select("file_path", F.when(key % 2 == 0, F.lit(None)).when(key % 3 == 0, F.col("content")).otherwise(F.encode(F.lit("locals { b = 1 }\n"), "UTF-8")).alias("content"))
+    apply_batch(held, changed)
+    return held.nodes.filter("kind = 'Local'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_query(
+    "full_build_demo", _full_build,
+    """SELECT 'CONTAINS' AS kind, '/repo/c' || c_custkey || '.tf::a' AS target_qualified, 1 AS n FROM customer UNION ALL SELECT 'CONTAINS', '/repo/n' || n_nationkey || '.yaml::name', 1 FROM nation
+UNION ALL SELECT 'READS_CONFIG', '/repo/n' || c_nationkey || '.yaml', count(*) FROM customer GROUP BY c_nationkey""",
+)
+_query("incremental_demo", _incremental, "SELECT CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS name, count(*) AS n FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1")
