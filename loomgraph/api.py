@@ -56,6 +56,10 @@ def open_store(spark: SparkSession, repo_root: str | None = None, group: str | N
     if repo_root and not any(os.path.exists(f"{root}/{mark}") for mark in (".git", ".loomgraph")):
         raise ValueError(f"neither .git nor .loomgraph in {root}")
     mine = config.group_of(root)
+    if config.db_of(root).startswith(f"{root}/.loomgraph/") and not os.path.exists(mark := f"{root}/.loomgraph/.gitignore"):
+        os.makedirs(f"{root}/.loomgraph", exist_ok=True)
+        with open(mark, "w") as f:
+            f.write("*\n")
     return GraphStore(spark, config.db_of(root)), root, [r for r in config.group_repos(mine) if os.path.isdir(r)] if mine else [root]
 
 

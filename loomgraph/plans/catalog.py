@@ -313,11 +313,11 @@ _query(
     """SELECT unnest(['File', 'Class', 'Method']) AS kind, unnest([c_custkey || '.py', 'C' || c_custkey, 'm']) AS name, '/c/' || c_custkey || '.py' AS file_path, unnest([1, 3, 4])::INT AS line_start, unnest([6, 5, 5])::INT AS line_end FROM customer""",
 )
 _query(
-    "parse_hcl", _made_files(".tf", "concat('variable \"v', c_nationkey, '\" { default = 1 }\\nresource \"a_b\" \"r\" { x = var.v }\\n')"),
+    "parse_hcl", _made_files(".tf", "concat('variable \"v', c_nationkey, '\" {{ default = 1 }}\\nresource \"a_b\" \"r\" {{ x = var.v }}\\n')"),
     """SELECT unnest(['File', 'Variable', 'Resource']) AS kind, unnest([c_custkey || '.tf', 'v' || c_nationkey, 'a_b.r']) AS name, '/c/' || c_custkey || '.tf' AS file_path, 0 AS line_start, 0 AS line_end FROM customer""",
 )
 _query(
-    "parse_yaml", _made_files(".yaml", "concat('segment: ', c_mktsegment, '\\nn', c_nationkey, ': &a {k: 1}\\n')"),
+    "parse_yaml", _made_files(".yaml", "concat('segment: ', c_mktsegment, '\\nn', c_nationkey, ': &a {{k: 1}}\\n')"),
     """SELECT unnest(['File', 'Anchor', 'Section', 'Section']) AS kind, unnest([c_custkey || '.yaml', '&a', 'segment', 'n' || c_nationkey]) AS name, '/c/' || c_custkey || '.yaml' AS file_path, unnest([1, 2, 1, 2])::INT AS line_start, unnest([3, 2, 1, 2])::INT AS line_end FROM customer""",
 )
 _query(
@@ -330,7 +330,7 @@ def _repository(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Terraform file for each customer, which reads a YAML file of its nation."""
     customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
     return spark.sql(
-        "SELECT concat('/repo/c', c_custkey, '.tf') AS file_path, CAST(concat('locals { a = yamldecode(file(\"n', c_nationkey, '.yaml\")) }\n') AS BINARY) AS content FROM {customer} "
+        "SELECT concat('/repo/c', c_custkey, '.tf') AS file_path, CAST(concat('locals {{ a = yamldecode(file(\"n', c_nationkey, '.yaml\")) }}\n') AS BINARY) AS content FROM {customer} "
         "UNION ALL SELECT concat('/repo/n', n_nationkey, '.yaml'), CAST('name: n\n' AS BINARY) FROM {nation}", customer=customer, nation=nation,
     )
 

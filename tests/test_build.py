@@ -107,6 +107,8 @@ def test_group_and_interface(spark, repo, tmp_path):
     context = api.get_review_context(spark, ["app/svc.py", "gone.py"], group="g", config=config, max_lines_per_file=2)["context"]
     assert context["source_snippets"] == {"app/svc.py": "1: import os\n2: from yaml import safe_load\n... (11 more lines)"}
     assert api.get_impact_radius(spark, [], group="g", config=config)["impacted_files"] == []
+    own = api.build_or_update_graph(spark, True, str(repo), config=Config(tmp_path / "none.yaml"))
+    assert own["build_type"] == "full" and (repo / ".loomgraph/.gitignore").read_text() == "*\n" and own["files_parsed"] == 9
     for bad in ({"group": "none"}, {"repo_root": f"{tmp_path}/missing"}, {"repo_root": str(two)}):
         with pytest.raises(ValueError):
             api.open_store(spark, config=config, **bad)

@@ -53,7 +53,7 @@ def test_lookups(graph):
     assert keys(lookup.nodes_of_file(nodes, "/m.tf")) == ["/m.tf", "/m.tf::aws.vpc"]
     assert lookup.with_language(nodes).count() == 11
     assert keys(lookup.search(nodes, "ONE a.py")) == ["/a.py::one"]
-    assert keys(lookup.search(nodes, "t_o")) == ["/b.py::test_one"] and lookup.search(nodes, "a\\b").isEmpty() and lookup.search(nodes, " ").isEmpty()
+    assert keys(lookup.search(nodes, "t_o")) == ["/a.py::two", "/b.py::test_one"] and lookup.search(nodes, "a\\b").isEmpty() and lookup.search(nodes, " ").isEmpty()
     assert lookup.search(nodes, "%", 3).count() == 3
     assert keys(lookup.search_filtered(nodes, "one", kind="Section", limit=1)) == [], "the kind is looked at after the first two finds"
     assert keys(lookup.search_filtered(nodes, "one", kind="Section", limit=20)) == ["/c.yaml::one_key"]
