@@ -97,7 +97,7 @@ def incremental_update(store: GraphStore, root: str, base: str = "HEAD~1", chang
     spark, root = store.spark, root.rstrip("/")
     changed = sources.changed_since(root, base) if changed is None else changed
     if not changed:
-        return {"files_updated": 0, "total_nodes": 0, "total_edges": 0, "changed_files": [], "dependent_files": [], "errors": []}
+        return dict.fromkeys(("files_updated", "total_nodes", "total_edges"), 0) | {k: [] for k in ("errors", "dependent_files", "changed_files")}
     table = spark.createDataFrame([(f"{root}/{c}",) for c in changed], "file_path string")
     dependent = sorted(r["file_path"].removeprefix(root + "/") for r in joins.dependents(store.edges, store.nodes, table).collect())
     names = sorted({*changed, *dependent})

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import like_word
 
+Text = str | None
+
 
 def node(nodes: DataFrame, key: str) -> DataFrame:
     """The node with a key."""
@@ -56,7 +58,7 @@ def search(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return nodes.filter(match).orderBy("ord").limit(limit)
 
 
-def search_filtered(nodes: DataFrame, query: str, kind: str | None = None, language: str | None = None, limit: int = 20) -> DataFrame:
+def search_filtered(nodes: DataFrame, query: str, kind: Text = None, language: Text = None, limit: int = 20) -> DataFrame:
     """``search`` for twice the limit, then kind and language, then the limit: the filters come after the first cut."""
     found = search(nodes, query, limit * 2)
     if kind:

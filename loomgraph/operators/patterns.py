@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import joins, lookup
 
+#: Kinds of edges by which one node refers to another.
+REFERRING = "PASSES_VAR READS_CONFIG REFERENCES RENDERS USES_MODULE".split()
 Rows = Callable[[DataFrame, DataFrame, str], DataFrame]
 
 
@@ -56,7 +58,7 @@ def file_summary(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
 
 def references_to(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Nodes that refer to a node."""
-    return joins.sources_of(lookup.edges_to(edges, key, ["REFERENCES", "READS_CONFIG", "RENDERS", "PASSES_VAR", "USES_MODULE"]), nodes)
+    return joins.sources_of(lookup.edges_to(edges, key, REFERRING), nodes)
 
 
 def cross_language_count(nodes: DataFrame, edges: DataFrame, key: str = "") -> DataFrame:
@@ -72,7 +74,7 @@ PATTERNS: dict[str, Rows] = {
 #: Kinds and direction of the edges that a pattern returns beside its rows.
 PATTERN_EDGES = {
     "callers_of": ("in", ["CALLS"]), "callees_of": ("out", ["CALLS"]), "imports_of": ("out", ["IMPORTS", "IMPORTS_FROM"]), "importers_of": ("in", ["IMPORTS", "IMPORTS_FROM"]),
-    "inheritors_of": ("in", ["INHERITS", "IMPLEMENTS"]), "references_to": ("in", ["REFERENCES", "READS_CONFIG", "RENDERS", "PASSES_VAR", "USES_MODULE"]),
+    "inheritors_of": ("in", ["INHERITS", "IMPLEMENTS"]), "references_to": ("in", REFERRING),
 }
 
 
