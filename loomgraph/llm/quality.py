@@ -216,7 +216,7 @@ def scores(text: Column, field: Field) -> Column:
             return pd.DataFrame({"lines": [], "content": [], "share": []})
         return pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("lines", "content", "share"))})
 
-    return decode(text)
+    return decode.asNondeterministic()(text)  # else a filter on a score would have it computed again for the filter
 
 
 def assess(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
