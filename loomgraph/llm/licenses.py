@@ -3,11 +3,13 @@
 Each template's words are hashed in runs of ``GRAM``; of every ``WINDOW`` consecutive hashes the least is kept (the rightmost of equals)
 and goes to the index. A document's runs are all looked up, so any stretch of ``GRAM + WINDOW - 1`` words in common with a
 template is found. Look-ups of one template on near diagonals form a candidate, which is aligned with the template by dynamic
-programming in a band around them; what matches gives the coverage of the template and the span in the document.
+programming in a band around them; what matches gives the coverage of the template and the span in the document. The text left and
+right of a match is aligned again, so copies that follow each other closely are all found.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -163,29 +165,64 @@ def find(h: np.ndarray, index: Index, coverage: float = COVERAGE) -> list[Hit]:
             seeds.setdefault(int(index.template[k]), []).append((p - int(index.position[k]), p))
     out: list[Hit] = []
     for template, found in seeds.items():
-        words_of, mine = index.templates[template], []
-        found.sort()
-        groups = [[found[0]]]
-        for s in found[1:]:
-            if s[0] - groups[-1][-1][0] <= BAND:
-                groups[-1].append(s)
-            else:
-                groups.append([s])
-        for group in groups:
-            low, high = group[0][0] - BAND, group[-1][0] + BAND
-            a = max(0, low)
-            n, s, e = align(words_of, h[a : high + len(words_of) + BAND], low - a, high - a)
-            if n >= coverage * len(words_of):
-                mine.append(Hit(template, n / len(words_of), a + s, a + e))
+        mine: list[Hit] = []
+        for group in _groups(found, len(index.templates[template])):
+            mine += _aligned(template, index.templates[template], h, group, coverage)
         mine.sort(key=lambda x: (-x.coverage, x.start))
-        kept: list[Hit] = []
+        kept: list[Hit] = []  # by start; they don't overlap, so only the neighbours can touch another one
         for x in mine:
-            if all(x.end <= y.start or y.end <= x.start for y in kept):
-                kept.append(x)
+            k = bisect_left(kept, x.start, key=lambda y: y.start)
+            if (not k or kept[k - 1].end <= x.start) and (k == len(kept) or x.end <= kept[k].start):
+                kept.insert(k, x)
         out += kept
     return sorted(out, key=lambda x: (x.start, x.template))
 
 
+def _groups(seeds: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
+    """Seeds (diagonal, position) chained by diagonals at most ``BAND`` apart; a chain of many copies is cut into pieces that overlap.
+
+    An alignment of a template of ``size`` words with a positive score drifts over fewer than 2 * size diagonals, so one of the pieces holds it.
+    """
+    seeds = sorted(seeds)
+    chains = [[seeds[0]]]
+    for s in seeds[1:]:
+        if s[0] - chains[-1][-1][0] <= BAND:
+            chains[-1].append(s)
+        else:
+            chains.append([s])
+    step, out = 2 * size + BAND, []
+    for chain in chains:
+        if chain[-1][0] - chain[0][0] <= 2 * step:
+            out.append(chain)
+            continue
+        for low in range(chain[0][0], chain[-1][0] - step + 1, step):
+            a, b = bisect_left(chain, (low,)), bisect_left(chain, (low + 2 * step + 1,))
+            if a < b:
+                out.append(chain[a:b])
+    return out
+
+
+def _aligned(template: int, words_of: np.ndarray, h: np.ndarray, group: list[tuple[int, int]], coverage: float) -> list[Hit]:
+    """Every find on the diagonals of a group: the best alignment, then those in the text left and right of it, and so on."""
+    own, times = np.unique(words_of, return_counts=True)
+    low, high = group[0][0] - BAND, group[-1][0] + BAND
+    out, rest = [], [(max(0, low), min(len(h), high + len(words_of) + BAND), group)]
+    while rest:
+        a, z, seeds = rest.pop()
+        # The words in common, each as often as both have it, bound what can match.
+        at = np.minimum(np.searchsorted(own, h[a:z]), len(own) - 1)
+        if not seeds or np.minimum(np.bincount(at[own[at] == h[a:z]], minlength=len(own)), times).sum() < coverage * len(words_of):
+            continue
+        low, high = max(min(s[0] for s in seeds) - BAND, a - len(words_of) + 1), min(max(s[0] for s in seeds) + BAND, z - 1)
+        n, s, e = align(words_of, h[a:z], low - a, high - a)
+        if not n:
+            continue
+        if n >= coverage * len(words_of):
+            out.append(Hit(template, n / len(words_of), a + s, a + e))
+        rest += [(a, a + s, [x for x in seeds if x[1] < a + s]), (a + e, z, [x for x in seeds if x[1] + GRAM > a + e])]
+    return out
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, coverage, start_word, end_word, matched_text) of each template found in each document.
 

@@ -223,6 +223,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).isEmpty() and licenses.scan_licenses(frame(spark, rows), {"short": "two words"}).isEmpty()
 
 
+def test_licenses_back_to_back():
+    index = licenses.build_index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        size = len(words([text]).hash)
+        for gap in ([], ["pkg"], ["another", "package"], [f"w{k}" for k in range(7)]):
+            for copies in (2, 3, 40 if size < 20 else 7):
+                found = licenses.find(words([" ".join([*gap, text] * copies)]).hash, index)
+                spans = [(x.start, x.end) for x in found if index.names[x.template] == name and x.coverage == 1.0]
+                assert spans == [(len(gap) + k * (len(gap) + size), (k + 1) * (len(gap) + size)) for k in range(copies)], (name, len(gap), copies)
+    whole = licenses.TEMPLATES["GPL-3.0-notice"].split()
+    cut = licenses.find(words([" ".join([*whole[:-2], *whole, *whole[2:]])]).hash, index)
+    assert [(x.start, x.end) for x in cut if index.names[x.template] == "GPL-3.0-notice"] == [(0, 10), (10, 22), (22, 32)], "cut copies beside a whole one"
+
+
 def test_winnowing_keeps_one_of_each_window():
     g = np.random.default_rng(1).integers(0, 50, 200).astype(np.uint64)
     kept = licenses.winnow(g, 4).tolist()
