@@ -7,7 +7,8 @@
 3. A randomised SVD of the TF-IDF matrix of passages and benchmark items, distributed over the corpus, gives the latent space. One pass
    multiplies the sketch by the matrix and its transpose; Nyström's formula then gives the singular vectors. The items have as much weight
    together as the corpus, so that their directions are kept.
-4. Each passage is compared with every item; a cosine of ``COSINE`` makes a candidate.
+4. Each passage is compared with every item; a cosine of ``COSINE`` makes a candidate. So does a run of ``RUN`` words of the item, word
+   for word, in an index of all items' runs: frequent words have no weight, and short items little in a passage of other words.
    Candidates with too few of the item's words around the passage can't reach 5 and are discarded.
 5. A candidate is contaminated if the longest common subsequence of the item and the words around the passage covers ``COVERED`` of the
    item, and that of its answer ``ANSWERED`` of the answer. Paraphrases that keep most words in order are caught with exact copies.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm._rows import arrow_pass, packed, staged, unpacked
-from loomgraph.llm._text import words
+from loomgraph.llm._text import mix64, words
 
 #: Words of a block; a passage has two.
 BLOCK = 32
@@ -35,6 +36,8 @@ BLOCK = 32
 RANK, OVERSAMPLE = 96, 16
 #: Least cosine of a candidate, least share of the item's words and of its answer's words in the common subsequence.
 COSINE, COVERED, ANSWERED = 0.45, 0.6, 0.5
+#: Consecutive words in common that make a candidate whatever the cosine; an item with fewer words has to be there whole.
+RUN = 3
 #: The last part of an item counts as its answer.
 ANSWER_SHARE = 0.25
 #: Items of one latent space; with their words, they bound what is broadcast.
@@ -52,6 +55,15 @@ class Items(NamedTuple):
     terms: list[np.ndarray]
 
 
+class Runs(NamedTuple):
+    """The items' runs of ``size`` words: sorted distinct keys, and for each where its items begin in ``item`` (one more at the end)."""
+
+    size: int
+    keys: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+
+
 class Model(NamedTuple):
     """Term weights into the latent space (idf times right singular vectors) and the items' unit vectors there."""
 
@@ -267,11 +279,11 @@ def scan(table: DataFrame, items: Items, number_of: np.ndarray, model: Model) ->
 
     def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, number_of, model = held.value
-        times = word_counts(items)
+        times, runs = word_counts(items), item_runs(items)
         for batch in source:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                hit = contained(part.column(2).to_pylist(), part.column(3).to_pylist(), items, number_of, model, times)
+                hit = contained(part.column(2).to_pylist(), part.column(3).to_pylist(), items, number_of, model, times, runs)
                 take = pa.array([h[0] for h in hit], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(take), part.column(1).take(take), pa.array([items.ids[h[1]] for h in hit], pa.int64()), *(pa.array([h[k] for h in hit], pa.float64()) for k in (2, 3, 4))],
@@ -290,16 +302,15 @@ def word_counts(items: Items) -> np.ndarray:
     return out
 
 
-def contained(pos: list[bytes], term: list[bytes], items: Items, number_of: np.ndarray, model: Model, times: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+def contained(pos: list[bytes], term: list[bytes], items: Items, number_of: np.ndarray, model: Model, times: np.ndarray, runs: list[Runs]) -> list[tuple[int, int, float, float, float]]:
     """(document, item, cosine, covered, answered) of the items that documents hold, given as ``benchmark_words`` does."""
-    b = blocks(pos, term, number_of)
-    doc, block, item, cosine = candidates(b, model)
-    if not len(doc):
-        return []
     t = number_of[np.frombuffer(b"".join(term), dtype="<i4")]
     keep = t >= 0
     t, of = t[keep], np.repeat(np.arange(len(pos)), [len(x) // 4 for x in pos])[keep]
     place = of.astype(np.int64) << 32 | np.frombuffer(b"".join(pos), dtype="<i4")[keep]
+    doc, block, item, cosine = candidates(blocks(pos, term, number_of), model, runs=shared_runs(place, t, runs))
+    if not len(doc):
+        return []
     size = np.asarray([len(x) for x in items.terms])[item]
     reach = size * 3 // 2
     first = np.searchsorted(place, doc << 32 | np.maximum(block * BLOCK - reach, 0))
@@ -327,24 +338,73 @@ def contained(pos: list[bytes], term: list[bytes], items: Items, number_of: np.n
     return out
 
 
-def candidates(b: Blocks, model: Model, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first block, item, cosine) of passages near an item: each block alone and with the one after it."""
+def run_keys(t: np.ndarray, size: int) -> np.ndarray:
+    """A key for every run of ``size`` terms; runs that collide only make candidates more."""
+    key = np.zeros(max(len(t) - size + 1, 0), dtype=np.uint64)
+    for i in range(size):
+        key = mix64(key * np.uint64(31) + t[i : len(key) + i].astype(np.uint64) + np.uint64(1))
+    return key
+
+
+def item_runs(items: Items) -> list[Runs]:
+    """The runs of all items, by size: ``RUN``, and what shorter items have."""
+    by: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, t in enumerate(items.terms):
+        size = min(RUN, len(t))
+        by.setdefault(size, []).append((i, np.unique(run_keys(t, size))))
+    out = []
+    for size, found in sorted(by.items()):
+        key, item = np.concatenate([k for _, k in found]), np.repeat([i for i, _ in found], [len(k) for _, k in found])
+        order = np.argsort(key, kind="stable")
+        keys, first = np.unique(key[order], return_index=True)
+        out.append(Runs(size, keys, np.append(first, len(key)), item[order]))
+    return out
+
+
+def shared_runs(place: np.ndarray, t: np.ndarray, runs: list[Runs]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, block, item), each once, of the runs of items in documents whose words ``t`` are at ``place`` (document << 32 | position)."""
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    for r in runs:
+        key = run_keys(t, r.size)
+        k = np.minimum(np.searchsorted(r.keys, key), len(r.keys) - 1)
+        hit = np.flatnonzero((r.keys[k] == key) & (place[r.size - 1 :] - place[: len(key)] == r.size - 1))
+        n = r.first[k[hit] + 1] - r.first[k[hit]]
+        at = np.repeat(r.first[k[hit]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        where = place[hit] >> 32 << 32 | (place[hit] & 0xFFFFFFFF) // BLOCK
+        found.append(np.unique(np.stack([np.repeat(where, n), r.item[at]]), axis=1))
+    where, item = np.concatenate(found, axis=1)
+    return where >> 32, where & 0xFFFFFFFF, item
+
+
+def candidates(b: Blocks, model: Model, cosine: float = COSINE, runs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first block, item, cosine) of passages near an item: each block alone and with the one after it.
+
+    ``runs``, as ``shared_runs`` gives them, are candidates with any cosine.
+    """
     y = block_vectors(b, model.project)
     follows = np.concatenate(((b.doc[1:] == b.doc[:-1]) & (b.number[1:] == b.number[:-1] + 1), [False])) if len(y) else np.zeros(0, dtype=bool)
-    found = []
+    row, item, cos = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.float32)]
     for both in (False, True):
         at = np.flatnonzero(follows) if both else np.arange(len(y))
         v = y[at] + y[at + 1] if both else y
         size = np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
         for s in range(0, len(at), 4096):
-            cos = v[s : s + 4096] @ model.items.T / size[s : s + 4096]
-            r, i = np.nonzero(cos >= cosine)
-            found.append((b.doc[at[s + r]], b.number[at[s + r]], i, cos[r, i]))
-    if not found:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.astype(np.float32)
-    doc, block, item, cos = (np.concatenate(x) for x in zip(*found))
-    return doc.astype(np.int64), block.astype(np.int64), item.astype(np.int64), cos
+            near = v[s : s + 4096] @ model.items.T / size[s : s + 4096]
+            r, i = np.nonzero(near >= cosine)
+            row.append(at[s + r])
+            item.append(i)
+            cos.append(near[r, i])
+    if runs is not None and len(runs[0]):
+        width = len(model.items)
+        of = np.searchsorted(b.doc.astype(np.int64) << 32 | b.number, runs[0] << 32 | runs[1])
+        new = np.flatnonzero(~np.isin(of * width + runs[2], np.concatenate(row) * width + np.concatenate(item)))
+        for s in range(0, len(new), 100_000):
+            r, i = of[new[s : s + 100_000]], runs[2][new[s : s + 100_000]]
+            row.append(r)
+            item.append(i)
+            cos.append(np.einsum("ij,ij->i", y[r], model.items[i]) / np.maximum(np.linalg.norm(y[r], axis=1), 1e-9))
+    at = np.concatenate(row)
+    return b.doc[at].astype(np.int64), b.number[at].astype(np.int64), np.concatenate(item).astype(np.int64), np.concatenate(cos)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

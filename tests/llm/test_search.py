@@ -160,6 +160,28 @@ def test_decontamination_of_nothing(spark):
         assert decontam.contaminated(frame(spark, rows), b).isEmpty() and decontam.drop_contaminated(frame(spark, rows), b).count() == len(rows)
 
 
+def test_decontamination_of_frequent_and_short_items(spark):
+    rng = random.Random(12)
+    bench = [(i, prose(rng, rng.randint(18, 40)).lower()) for i in range(12)] + [(20, "zora plim quent vask dorn hest"), (21, "brisk otter"), (22, "solitary")]
+    rows = [(i, prose(rng, rng.randint(60, 200))) for i in range(120)]
+    planted = set()
+    for i in range(60):  # item 0, copied so often that each of its words is in far more than MAX_DF of the blocks
+        rows[i] = (i, f"{rows[i][1]} {bench[0][1]} {prose(rng, 5)}")
+        planted.add((i, 0))
+    for i in range(60, 120):
+        b = bench[12 + i % 3]
+        at = rows[i][1].index(" ", len(rows[i][1]) // 2)
+        rows[i] = (i, f"{rows[i][1][:at]} {b[1]}{rows[i][1][at:]}")
+        planted.add((i, b[0]))
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    items = decontam.read_items(table)[0]
+    held = staged(decontam.benchmark_words(packed(frame(spark, rows)), items.vocab), "words")
+    model = decontam.fit(held, items, np.arange(len(items.vocab), dtype=np.int32))
+    assert not model.items[0].any(), "all words of item 0 are without weight"
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), table).collect()}
+    assert planted <= found, sorted(planted - found)
+
+
 def test_common_subsequence():
     rng = random.Random(4)
     for _ in range(60):
