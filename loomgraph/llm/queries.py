@@ -37,8 +37,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence of token ids with its slot, shard and offset in training order."""
-    return tokenout.ordered_sequences(_documents(spark, sf_dir))
+    """Every sequence of token ids with its slot, shard and offset in training order, and the path of the shard, which is written."""
+    return tokenout.written_sequences(_documents(spark, sf_dir))
 
 
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._rows import arrow_pass, local_path, staged
+from loomgraph.llm._rows import arrow_pass, local_path, shared_dir, staged
 from loomgraph.llm._tokens import DEFAULT_VOCAB, END_OF_TEXT, encoder
 
 #: Ids of a sequence; a stride is twice as many bytes.
@@ -33,6 +33,9 @@ KEY = "training-order-0"
 ROUNDS = 6
 #: Range partitions at most; each then writes several whole shards.
 MAX_PARTITIONS = 100_000
+#: Bytes of sequences in an Arrow batch at most.
+BATCH_BYTES = 1 << 26
+_PLACE = ["_id", "piece", "slot", "shard", "offset", "n_tokens"]
 
 
 class Order(NamedTuple):
@@ -124,36 +127,60 @@ def ordered_sequences(
         import zstandard
 
         expand = zstandard.ZstdDecompressor()
-        for row in range(batch.num_rows):
-            ids = np.frombuffer(expand.decompress(batch.column(3)[row].as_py()), dtype="<u2")
-            s = sequences(ids, length)
-            slot = permute(base[batch.column(1)[row].as_py()] + batch.column(2)[row].as_py() + np.arange(len(s)), o)
-            n = np.full(len(s), length)
-            n[-1] = len(ids) + 1 - (len(s) - 1) * length
+        ids = [np.frombuffer(expand.decompress(x), dtype="<u2") for x in batch.column(3).to_pylist()]
+        s = np.concatenate([sequences(x, length) for x in ids])
+        count = np.asarray([-(-(len(x) + 1) // length) for x in ids], dtype=np.int64)
+        end = np.cumsum(count)
+        row = np.repeat(np.arange(len(ids)), count)
+        piece = np.arange(len(s)) - (end - count)[row]
+        number = np.asarray([base[p] for p in batch.column(1).to_pylist()], dtype=np.int64) + np.asarray(batch.column(2), dtype=np.int64)
+        slot = permute(number[row] + piece, o)
+        n = np.full(len(s), length)
+        n[end - 1] = np.asarray([len(x) + 1 for x in ids]) - (count - 1) * length
+        step = max(1, BATCH_BYTES // (length * 2))
+        for k in (slice(at, at + step) for at in range(0, len(s), step)):
+            offsets = np.arange(len(s[k]) + 1, dtype=np.int32) * (length * 2)
+            tokens = pa.Array.from_buffers(pa.binary(), len(s[k]), [None, pa.py_buffer(offsets), pa.py_buffer(s[k])])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(np.full(len(s), row))), pa.array(np.arange(len(s)), pa.int32()), pa.array(slot), pa.array(slot // shard_sequences, pa.int32()),
-                    pa.array(slot % shard_sequences * length * 2), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in s], pa.binary()),
+                    batch.column(0).take(pa.array(row[k])), pa.array(piece[k], pa.int32()), pa.array(slot[k]), pa.array(slot[k] // shard_sequences, pa.int32()),
+                    pa.array(slot[k] % shard_sequences * length * 2), pa.array(n[k], pa.int32()), tokens,
                 ],
-                ["_id", "piece", "slot", "shard", "offset", "n_tokens", "tokens"],
+                [*_PLACE, "tokens"],
             )
 
-    placed = arrow_pass(encoded.select("_id", "_part", "_first", "_ids"), _merged(cut), f"_id {id_type}, piece int, slot long, shard int, offset long, n_tokens int, tokens binary")
+    placed = arrow_pass(encoded.select("_id", "_part", "_first", "_ids"), cut, f"_id {id_type}, piece int, slot long, shard int, offset long, n_tokens int, tokens binary")
     shards = max(1, -(-total // shard_sequences))
     partitions = min(shards, MAX_PARTITIONS)
     placed = placed.repartitionById(partitions, (F.col("shard").cast("long") * partitions / shards).cast("int")).sortWithinPartitions("slot")
     return placed.select(F.col("_id").alias(id_col), "piece", "slot", "shard", "offset", "n_tokens", "tokens")
 
 
-def _merged(cut):  # type: ignore[no-untyped-def]
-    """One batch for all documents of a piece, not one each."""
+class _Shards:
+    """Writes shards one after the other; each is hidden until it is whole, and then a row of the manifest."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = list(cut(batch))
-        if found:
-            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+    def __init__(self, root: str) -> None:
+        os.makedirs(root, exist_ok=True)
+        self.root, self.shard, self.file = root, None, None
+
+    def path(self, shard: int) -> str:
+        return f"{self.root}/shard-{shard:06d}.bin"
 
-    return run
+    def write(self, shard: int, tokens: pa.Buffer) -> Iterator[pa.RecordBatch]:
+        if shard != self.shard:
+            yield from self.close()
+            self.temporary = f"{self.root}/.{uuid.uuid4().hex}"
+            self.shard, self.file, self.digest, self.n = shard, open(self.temporary, "wb"), hashlib.sha256(), 0  # noqa: SIM115
+        self.file.write(tokens)
+        self.digest.update(tokens)
+        self.n += 1
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.file is not None:
+            self.file.close()
+            os.replace(self.temporary, self.path(self.shard))
+            yield pa.RecordBatch.from_arrays([pa.array([self.shard], pa.int32()), pa.array([self.path(self.shard)]), pa.array([self.n], pa.int64()), pa.array([self.digest.hexdigest()])], ["shard", "path", "sequences", "sha256"])
+            self.file = None
 
 
 def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
@@ -164,28 +191,59 @@ def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH) -> DataF
     root = local_path(folder)
 
     def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(root, exist_ok=True)
-        shard, out, temporary, digest, n = None, None, "", hashlib.sha256(), 0
+        out = _Shards(root)
+        for batch in source:
+            for s, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from out.write(s, tokens.as_buffer())
+        yield from out.close()
+
+    return ordered.select("shard", "tokens").mapInArrow(write, "shard int, path string, sequences long, sha256 string")
+
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if out is not None:
-                out.close()
-                path = f"{root}/shard-{shard:06d}.bin"
-                os.replace(temporary, path)
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["shard", "path", "sequences", "sha256"])
+def written_sequences(docs: DataFrame, folder: str | None = None, length: int = LENGTH, id_col: str = "doc_id", **options) -> DataFrame:  # type: ignore[no-untyped-def]
+    """``ordered_sequences`` with its shards written: (id, piece, slot, shard, offset, n_tokens, tokens, path).
+
+    Writes every shard, at once, to ``folder``, by default a new one in the shared folder. ``path`` and ``offset`` say where a sequence
+    lies, and beside each shard is its SHA-256; ``tokens`` are read from there when the result is used. Other ``options`` are those of ``ordered_sequences``.
+    """
+    root = local_path(folder or f"{shared_dir(docs.sparkSession)}/token-shards-{uuid.uuid4().hex}")
+    ordered = ordered_sequences(docs, length, id_col=id_col, **options)
+    id_type = dict(ordered.dtypes)[id_col]
+
+    def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Shards(root)
+
+        def note(closed: Iterator[pa.RecordBatch]) -> None:
+            for row in closed:
+                path, digest = row.column(1)[0].as_py(), row.column(3)[0].as_py()
+                temporary = f"{root}/.{uuid.uuid4().hex}"
+                with open(temporary, "w") as file:
+                    file.write(f"{digest}  {os.path.basename(path)}\n")
+                os.replace(temporary, f"{path}.sha256")
 
         for batch in source:
-            for s, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if s != shard:
-                    yield from close()
-                    temporary = f"{root}/.{uuid.uuid4().hex}"
-                    shard, out, digest, n = s, open(temporary, "wb"), hashlib.sha256(), 0  # noqa: SIM115
-                out.write(tokens)
-                digest.update(tokens)
-                n += 1
-        yield from close()
+            of = batch.column(3).to_pylist()
+            for s, tokens in zip(of, batch.column(6)):
+                note(out.write(s, tokens.as_buffer()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([out.path(s) for s in of], pa.string())], [*_PLACE, "path"])
+        note(out.close())
 
-    return ordered.select("shard", "tokens").mapInArrow(write, "shard int, path string, sequences long, sha256 string")
+    schema = f"_id {id_type}, piece int, slot long, shard int, offset long, n_tokens int"
+    index = staged(ordered.toDF(*_PLACE, "tokens").mapInArrow(write, f"{schema}, path string"), "token-index")
+
+    def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, shard = None, None
+        for batch in source:
+            tokens = []
+            for at, of in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist()):
+                if of != path:
+                    path, shard = of, np.memmap(of, dtype=np.uint8, mode="r")
+                if at + length * 2 > len(shard):
+                    raise ValueError(f"{of} ends before byte {at + length * 2}")
+                tokens.append(shard[at : at + length * 2].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(tokens, pa.binary()), batch.column(6)], [*_PLACE, "tokens", "path"])
+
+    return index.mapInArrow(read, f"{schema}, tokens binary, path string").select(F.col("_id").alias(id_col), *_PLACE[1:], "tokens", "path")
 
 
 def read_slots(folder: str, slot: int, count: int, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> np.ndarray:

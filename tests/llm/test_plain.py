@@ -1,12 +1,13 @@
 """Sharding, packing, token output and chat windows against plain definitions."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from loomgraph.llm import chat, packing, sharding, tokenout
+from loomgraph.llm import chat, packing, queries, sharding, tokenout
 from loomgraph.llm._tokens import END_OF_TEXT, encoder
 from tests.llm.data import EDGES, frame, prose, rows_of
 
@@ -153,6 +154,23 @@ def test_token_output_round_trip(spark, tmp_path):
     assert tokenout.ordered_sequences(frame(spark, [])).isEmpty()
 
 
+def test_token_output_query_writes_its_shards(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(1, 3000))) for i in range(30)] + [(100 + i, t) for i, t in enumerate(EDGES)] + [(None, "no id")]
+    frame(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_token_output(spark, str(tmp_path)).collect()
+    want = tokenout.ordered_sequences(frame(spark, rows, extra=False)).collect()
+    assert len(got) == len(want) and len({r.path for r in got}) == 1
+    whole = open(got[0].path, "rb").read()
+    assert len(whole) == len(got) * tokenout.LENGTH * 2 and open(got[0].path + ".sha256").read().split() == [hashlib.sha256(whole).hexdigest(), "shard-000000.bin"]
+    assert all(r.tokens == whole[r.offset : r.offset + tokenout.LENGTH * 2] for r in got)
+    assert sorted((repr(r.doc_id), r.piece, r.n_tokens, r.tokens) for r in got) == sorted((repr(r.doc_id), r.piece, r.n_tokens, r.tokens) for r in want)
+    small = tokenout.written_sequences(frame(spark, rows), f"file://{tmp_path}/small", length=32, shard_sequences=16).collect()
+    read = tokenout.read_slots(f"file://{tmp_path}/small", 0, len(small) + 5, 32, 16)
+    assert [x.tobytes() for x in read] == [r.tokens for r in sorted(small, key=lambda r: r.slot)] and all(open(r.path, "rb").read()[r.offset : r.offset + 64] == r.tokens for r in small[:50])
+    assert tokenout.written_sequences(frame(spark, [])).isEmpty()
+
+
 def test_chat_windows(spark):
     rng = random.Random(3)
     rows, cid = [], 0
