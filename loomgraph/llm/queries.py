@@ -42,8 +42,8 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every training window of every conversation."""
-    return chat.chat_windows(_table("conversations")(spark, sf_dir))
+    """Every training window of every conversation, with whole system turns."""
+    return chat.chat_windows(_table("conversations")(spark, sf_dir), whole_system=True)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

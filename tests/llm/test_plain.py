@@ -204,6 +204,25 @@ def test_chat_windows(spark):
     assert chat.chat_windows(df.limit(0)).isEmpty()
 
 
+def test_chat_query_keeps_whole_system_turns(spark, tmp_path):
+    rng, enc = random.Random(5), encoder()
+    systems = {1: [prose(rng, 900)], 2: [prose(rng, 900)], 3: [prose(rng, 200), prose(rng, 200)], 4: [prose(rng, 5)], 5: []}
+    rows = [(c, k, "system", t) for c, ts in systems.items() for k, t in enumerate(ts)]
+    talk = [(c, 10 + k, ("user", "assistant")[k % 2], prose(rng, 90)) for c in (2, 3, 4, 5) for k in range(6)]
+    spark.createDataFrame(rows + talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    by = {}
+    for r in sorted(queries.op6_chat_windows(spark, str(tmp_path)).collect(), key=lambda r: (r.conv_id, r.window)):
+        by.setdefault(r.conv_id, []).append((r, np.frombuffer(r.tokens, "<u2").tolist(), np.frombuffer(r.mask, "u1").tolist()))
+    assert sorted(by) == [1, 2, 3, 4, 5]
+    for c, windows in by.items():
+        system = [x for t in systems[c] for x in [*enc.ids(f"<system>\n{t}"), END_OF_TEXT]]
+        head, tails = system[: chat.BUDGET // 2], [(t, m) for r, t, m in windows if r.end_turn == 0]
+        assert all(len(t) <= chat.BUDGET and t[: len(head)] == head for _, t, _ in windows)
+        assert head + [x for t, _ in tails for x in t[len(head) :]] == system or not tails and head == system, "every token of the system turn"
+        assert not any(any(m) for _, m in tails) and [r.part for r, _, _ in windows if r.end_turn == 0] == list(range(len(tails)))
+        assert [x for _, t, m in windows for x, on in zip(t, m) if on] == [x for n, _, role, t in talk if n == c and role == "assistant" for x in [*enc.ids(f"<assistant>\n{t}"), END_OF_TEXT]]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=12), st.integers(0, 20), st.integers(0, 30))
 def test_window_rule(sizes, system, history):
