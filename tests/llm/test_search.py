@@ -81,6 +81,20 @@ def test_components(spark):
     assert got == {i.to_bytes(2, "big"): b"\0\0" for i in range(1, 41)} | {b"\x10\x01": b"\x10\x00"}
 
 
+@pytest.mark.parametrize("items", [10_000, 1_000_000, 100_000_000])
+def test_keys_reach_the_radius(items):
+    """Pairs at the largest distance that counts, and at the close one, meet in some table."""
+    rng = np.random.default_rng(3)
+    _, positions = simhash.key_plan(items)
+    for bits, least in ((simhash.RADIUS, 0.87), (simhash.CLOSE, 0.95)):
+        met = 0
+        for _ in range(1000):
+            differs = np.zeros(simhash.BITS, dtype=bool)
+            differs[rng.choice(simhash.BITS, bits, replace=False)] = True
+            met += not differs[positions].any(axis=1).all()
+        assert met >= least * 1000, (items, bits, met)
+
+
 def test_pivots_discard_no_near_pair():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 64, (200, 4), dtype=np.uint64)
