@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
+    """``spark.checkpoint.dir``; on a local master, where one machine is all there is, a folder of our own if it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
