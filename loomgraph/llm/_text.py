@@ -8,7 +8,6 @@ text; every other byte separates words.  A null text has no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -84,14 +83,3 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 def doc_bounds(doc: np.ndarray, n: int) -> np.ndarray:
     """Offsets o with the items of text i at [o[i], o[i + 1])."""
     return np.searchsorted(doc, np.arange(n + 1))
-
-
-def batches(frames: Iterable, size: int, column: str) -> Iterator:
-    """Cut pandas frames into pieces of about ``size`` characters of ``column``; a single long text is a piece by itself."""
-    for frame in frames:
-        n = frame[column].str.len().fillna(0).to_numpy()
-        piece = (np.cumsum(n) // size).astype(np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(frame)]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                yield frame.iloc[a:b]

@@ -47,11 +47,11 @@ def windows(sizes: list[int], system: int, budget: int = BUDGET, history: int =
     return out
 
 
-def format_conversation(turns: list[tuple[str, np.ndarray]], budget: int = BUDGET, history: int = HISTORY, whole_system: bool = False) -> list[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
+def format_conversation(turns: list[tuple[str, np.ndarray]], budget: int = BUDGET, history: int = HISTORY) -> list[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
     """(first repeated, first new, end, part, ids, mask) of each window of (role, ids) turns in order; numbers leave out the system turn.
 
-    A leading system turn is in every window, cut to half the budget if it is longer. A turn that alone exceeds the room is cut into parts.
-    With ``whole_system`` the rest of a longer system turn comes first, in windows of no turns: parts that follow its first half budget, all masked.
+    A leading system turn is in every window, up to half the budget. The rest of a longer one comes first, in windows of no turns: parts that
+    follow its first half budget, all masked. A turn that alone exceeds the room is cut into parts.
     """
     system = turns[0][1] if turns and turns[0][0] == "system" else np.zeros(0, dtype=np.int64)
     rest = turns[1:] if len(system) else turns
@@ -59,7 +59,7 @@ def format_conversation(turns: list[tuple[str, np.ndarray]], budget: int = BUDGE
     if len(system) > budget // 2:
         system, tail = system[: budget // 2], system[budget // 2 :]
         room = budget - len(system)
-        for part, at in enumerate(range(0, len(tail) if whole_system else 0, room)):
+        for part, at in enumerate(range(0, len(tail), room)):
             ids = np.concatenate((system, tail[at : at + room]))
             out.append((0, 0, 0, part, ids, np.zeros(len(ids), dtype=np.uint8)))
     if not rest and len(system):
@@ -75,13 +75,14 @@ def format_conversation(turns: list[tuple[str, np.ndarray]], budget: int = BUDGE
     return out
 
 
-def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocab: str = DEFAULT_VOCAB, whole_system: bool = False) -> DataFrame:
+def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """(conv_id, window, first_turn, new_turn, end_turn, part, n_tokens, n_targets, tokens, mask) of every window of every conversation.
 
     ``conversations`` has conv_id, turn, role and text. Turns go by number (null first), then role and text; a row that occurs more than
     once counts once. Rows with a null role or text have no turn; a null conversation id is one conversation. A conversation
-    without turns has no window. With ``whole_system`` a system turn of over half the budget has windows of its own for the rest of it
-    (no turns, ``part`` from 0); else it is cut. ``first_turn``, ``new_turn`` and ``end_turn`` count turns after the system turn. Other columns aren't
+    without turns has no window. A system turn of over half the budget has windows of its own for the rest of it
+    (no turns, ``part`` from 0), and any other turn that exceeds the room is cut into parts: no token is left out. Several system turns
+    are one, in order. ``first_turn``, ``new_turn`` and ``end_turn`` count turns after the system turn. Other columns aren't
     read, so their names can't clash. An empty table gives an empty result.
     """
     id_type = dict(conversations.dtypes)["conv_id"]
@@ -95,7 +96,7 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
             for row in range(batch.num_rows):
                 turns = [(t["role"], np.append(enc.ids(f"<{t['role']}>\n{t['text']}"), END_OF_TEXT)) for t in batch.column(1)[row].as_py()]
                 turns.sort(key=lambda t: t[0] != "system")  # a stable sort: system turns come first
-                for k, (first, new, end, part, ids, mask) in enumerate(format_conversation(_one_system(turns), budget, history, whole_system)):
+                for k, (first, new, end, part, ids, mask) in enumerate(format_conversation(_one_system(turns), budget, history)):
                     of.append(row)
                     for c, v in zip(cols, (k, first, new, end, part, len(ids), int(mask.sum()), ids.astype("<u2").tobytes(), mask.tobytes())):
                         c.append(v)

@@ -44,6 +44,8 @@ ANSWER_SHARE = 0.25
 ITEMS = 2000
 #: Words in more than this share of the passages carry no meaning and have no weight.
 MAX_DF = 0.02
+#: Vectors that one task adds up.
+FAN_IN = 64
 _SEED = 7
 
 
@@ -51,7 +53,7 @@ class Items(NamedTuple):
     """Benchmark items as numbers of words: sorted vocabulary of hashes, ids, and each item's words."""
 
     vocab: np.ndarray
-    ids: list
+    ids: pa.Array
     terms: list[np.ndarray]
 
 
@@ -74,7 +76,7 @@ class Model(NamedTuple):
 def read_items(benchmark: DataFrame) -> list[Items]:
     """The items in parts of ``ITEMS``, by id. Items without words or id are left out; of equal ids and texts one counts."""
     rows = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text <> ''").distinct().orderBy("item_id", "text").toArrow()
-    ids, texts = rows["item_id"].to_pylist(), rows["text"].to_pylist()
+    ids, texts = rows["item_id"].combine_chunks(), rows["text"].to_pylist()
     parts = []
     for at in range(0, len(ids), ITEMS):
         w = words(texts[at : at + ITEMS])
@@ -82,7 +84,7 @@ def read_items(benchmark: DataFrame) -> list[Items]:
         lists = [term[w.doc == i].astype(np.int32) for i in range(len(texts[at : at + ITEMS]))]
         keep = [i for i, t in enumerate(lists) if len(t)]
         if keep:
-            parts.append(Items(vocab, [ids[at + i] for i in keep], [lists[i] for i in keep]))
+            parts.append(Items(vocab, ids.take(pa.array([at + i for i in keep])), [lists[i] for i in keep]))
     return parts
 
 
@@ -159,7 +161,7 @@ def block_vectors(b: Blocks, project: np.ndarray) -> np.ndarray:
 
 
 def _summed(parts: DataFrame, width: int) -> np.ndarray:
-    """Sum of float vectors in column ``v`` over a table; partial sums are added in a tree of two levels."""
+    """Sum of float vectors in column ``v`` over a table with one for each task; each level of the tree adds at most ``FAN_IN`` of them in a task."""
 
     def add(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -168,7 +170,11 @@ def _summed(parts: DataFrame, width: int) -> np.ndarray:
                 total += np.frombuffer(x, dtype=np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["v"])
 
-    grouped = parts.repartition(8).mapInArrow(add, "v binary")
+    tasks = parts.rdd.getNumPartitions()
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.repartition(tasks).mapInArrow(add, "v binary")
+    grouped = parts.repartition(min(tasks, 4)).mapInArrow(add, "v binary")
     return np.sum([np.frombuffer(r.v, dtype=np.float32) for r in grouped.collect()] + [np.zeros(width)], axis=0, dtype=np.float64)
 
 
@@ -271,7 +277,7 @@ def check(item: np.ndarray, near: np.ndarray) -> tuple[float, float]:
     return n / len(item), float(mask[-answer:].mean())
 
 
-def scan(table: DataFrame, items: Items, number_of: np.ndarray, model: Model) -> DataFrame:
+def scan(table: DataFrame, items: Items, number_of: np.ndarray, model: Model, item_type: str = "long") -> DataFrame:
     """(_id, _k, item, cosine, covered, answered) of contaminated documents: for each item the passage with the highest cosine that holds it, the first of equals."""
     spark = table.sparkSession
     held = spark.sparkContext.broadcast((items, number_of, model))
@@ -286,15 +292,15 @@ def scan(table: DataFrame, items: Items, number_of: np.ndarray, model: Model) ->
                 hit = contained(part.column(2).to_pylist(), part.column(3).to_pylist(), items, number_of, model, times, runs)
                 take = pa.array([h[0] for h in hit], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array([items.ids[h[1]] for h in hit], pa.int64()), *(pa.array([h[k] for h in hit], pa.float64()) for k in (2, 3, 4))],
+                    [part.column(0).take(take), part.column(1).take(take), items.ids.take(pa.array([h[1] for h in hit], pa.int64())), *(pa.array([h[k] for h in hit], pa.float64()) for k in (2, 3, 4))],
                     ["_id", "_k", "item", "cosine", "covered", "answered"],
                 )
 
-    return table.select("_id", "_k", "pos", "term").mapInArrow(find, f"_id {id_type}, _k long, item long, cosine double, covered double, answered double")
+    return table.select("_id", "_k", "pos", "term").mapInArrow(find, f"_id {id_type}, _k long, item {item_type}, cosine double, covered double, answered double")
 
 
 def word_counts(items: Items) -> np.ndarray:
-    """How often each item has each word of the vocabulary."""
+    """How often each item has each word of the vocabulary; 255 stands for that and more."""
     out = np.zeros((len(items.terms), len(items.vocab)), dtype=np.uint8)
     for i, t in enumerate(items.terms):
         term, n = np.unique(t, return_counts=True)
@@ -325,7 +331,8 @@ def contained(pos: list[bytes], term: list[bytes], items: Items, number_of: np.n
         shared = times[item[s][c], word] > 0
         pair, count = np.unique(c[shared] * times.shape[1] + word[shared], return_counts=True)
         c, word = pair // times.shape[1], pair % times.shape[1]
-        bound[s] = np.bincount(c, np.minimum(count, times[item[s][c], word]), minlength=len(n))
+        most = times[item[s][c], word]
+        bound[s] = np.bincount(c, np.where(most < 255, np.minimum(count, most), count), minlength=len(n))
     able = np.flatnonzero(bound >= COVERED * size)
     out, done = [], set()
     for k in able[np.lexsort((block[able], -cosine[able]))].tolist():
@@ -410,7 +417,8 @@ def candidates(b: Blocks, model: Model, cosine: float = COSINE, runs: tuple[np.n
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(_id, _k, item, cosine, covered, answered); ``docs`` is as ``packed`` gives it."""
     id_type = dict(docs.dtypes)["_id"]
-    schema = f"_id {id_type}, _k long, item long, cosine double, covered double, answered double"
+    item_type = dict(benchmark.dtypes)["item_id"]
+    schema = f"_id {id_type}, _k long, item {item_type}, cosine double, covered double, answered double"
     parts = read_items(benchmark)
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
@@ -420,7 +428,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for part in parts:
         number_of = np.full(len(vocab), -1, dtype=np.int32)
         number_of[np.searchsorted(vocab, part.vocab)] = np.arange(len(part.vocab))
-        found = scan(table, part, number_of, fit(table, part, number_of))
+        found = scan(table, part, number_of, fit(table, part, number_of), item_type)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -430,8 +438,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``covered`` and ``answered`` are the shares of the item and of its answer, the last quarter of its words, in the common
     subsequence, in the passage with the highest cosine that holds the item. Null and empty texts hold nothing; neither do items without words. Rows equal in id and text come out
-    alike, once for each. Long texts count whole. Other columns aren't read, so their names can't clash. An empty
-    table or benchmark gives an empty result.
+    alike, once for each. Item ids keep their type; an id with several texts is several items, and repeated rows of the benchmark count once.
+    Long texts count whole. Other columns aren't read, so their names can't clash. An empty table or benchmark gives an empty result.
     """
     found = contamination(packed(docs, id_col, text_col), benchmark)
     return found.select(F.col("_id").alias(id_col), F.col("item").alias("item_id"), "cosine", "covered", "answered")

@@ -25,6 +25,8 @@ from loomgraph.llm._text import span_hash, words
 TRAIN_DOCS = 3000
 #: Share of a document's characters that must be in content lines.
 MIN_SHARE = 0.5
+#: What a text that isn't empty has.
+INK = "[^ \\n\\t\\r]"
 FEATURES = ("bias", "length", "upper", "digit", "symbol", "mark", "bar", "shout", "word", "same", "repeat", "blank", "short")
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 white space and control
@@ -223,10 +225,11 @@ def assess(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
     """(id, lines, content_lines, content_share, kept) of every row of ``docs``.
 
     Null and empty texts have no content to speak of: their share is 0 and they are rejected, as are texts of white space
-    alone. Repeated rows come out alike; other columns aren't read. A document of any length is decoded whole.
+    alone. A share that equals the least one is kept; between equal scores a line is content. Repeated rows come out alike; other columns
+    aren't read, so their names can't clash. A document of any length is decoded whole. An empty table gives an empty result.
     """
     scored = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).withColumn("_s", scores(F.col("_text"), field))
-    empty = F.coalesce(F.length(F.trim(F.translate("_text", "\n\t\r", "   "))) == 0, F.lit(True))
+    empty = ~F.coalesce(F.col("_text").rlike(INK), F.lit(False))
     share = F.when(empty, 0.0).otherwise(F.col("_s.share"))
     return scored.select(
         F.col("_id").alias(id_col), F.col("_s.lines").alias("lines"), F.when(empty, 0).otherwise(F.col("_s.content")).alias("content_lines"), share.alias("content_share"), (~empty & (share >= field.min_share)).alias("kept")
@@ -234,7 +237,7 @@ def assess(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
 
 def keep_content(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with their columns under their names, whatever these are. No shuffle."""
+    """The rows of ``docs`` that ``assess`` keeps, with their columns under their names, whatever these are. An empty table stays empty. No shuffle."""
     work = packed(docs, docs.columns[0], text_col).withColumn("_s", scores(F.col("_text"), field))
-    full = F.length(F.trim(F.translate("_text", "\n\t\r", "   "))) > 0
+    full = F.col("_text").rlike(INK)
     return unpacked(work.filter(full & (F.col("_s.share") >= field.min_share)), docs.columns)

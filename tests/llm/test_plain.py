@@ -204,6 +204,16 @@ def test_chat_windows(spark):
     assert chat.chat_windows(df.limit(0)).isEmpty()
 
 
+def test_copies_and_null_ids_spread_over_packers(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 10)
+    same = [(7, "one text of some words, again and again")] * 400
+    got = packing.pack_documents(frame(spark, same), window=128, packer_tokens=400).collect()
+    assert len(got) == 400 and len({r.packer for r in got}) > 5
+    nulls = [(None, f"text number {i} without an id") for i in range(200)]
+    got = packing.pack_documents(frame(spark, nulls), window=128, packer_tokens=100).collect()
+    assert len(got) == 200 and len({r.packer for r in got}) > 5
+
+
 def test_chat_query_keeps_whole_system_turns(spark, tmp_path):
     rng, enc = random.Random(5), encoder()
     systems = {1: [prose(rng, 900)], 2: [prose(rng, 900)], 3: [prose(rng, 200), prose(rng, 200)], 4: [prose(rng, 5)], 5: []}

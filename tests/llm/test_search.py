@@ -43,9 +43,15 @@ def test_near_duplicates(spark, seed):
     prints = {(r["_id"], r["_k"]): r["_fp"] for r in simhash.fingerprint_docs(work).collect()}
     items = sorted(set(prints.values()))
     fp = np.frombuffer(b"".join(items), dtype=np.uint64).reshape(len(items), -1)
-    brute = {(items[i], items[j]) for i in range(len(items)) for j in range(i + 1, len(items)) if np.bitwise_count(fp[i] ^ fp[j]).sum() <= simhash.RADIUS}
-    found = [(r["a"], r["b"]) for r in simhash.near_fingerprints(spark.createDataFrame([(x,) for x in items], "_fp binary")).collect()]
-    assert len(found) == len(set(found)) and set(found) <= brute and len(set(found) & brute) >= 0.9 * len(brute)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= simhash.RADIUS
+    links = {x: int(n) - 1 for x, n in zip(items, near.sum(axis=1))}
+    distinct = spark.createDataFrame([(x,) for x in items], "_fp binary")
+    rows_found = simhash.near_fingerprints(distinct).collect()
+    have = {}
+    for r in rows_found:
+        have[r["b"]] = have.get(r["b"], 0) + r["links"]
+    assert all(n <= links[x] for x, n in have.items()) and sum(have.values()) >= 0.9 * sum(links.values())
+    found = [(r["a"], r["b"]) for r in rows_found]
 
     parent = {x: x for x in items}
     def root(x):
@@ -59,7 +65,10 @@ def test_near_duplicates(spark, seed):
     for r in keyed:
         if (r["_id"], r["_k"]) in prints:
             groups.setdefault(root(prints[r["_id"], r["_k"]]), []).append((r["_id"] is not None, r["_id"] or 0, r["_k"], r["_id"]))
-    want = [(x[3], min(g)[3], len(g)) for g in groups.values() if len(g) > 1 for x in sorted(g)[1:]]
+    linked = {x: root(x) for x in items}
+    missed = sum(linked[items[i]] != linked[items[j]] for i, j in np.argwhere(np.triu(near, 1)))
+    assert missed <= 0.05 * np.triu(near, 1).sum(), "near pairs are in one group"
+    want = [(x[3], min(g)[3], len(g), have.get(prints[x[3], x[2]], 0)) for g in groups.values() if len(g) > 1 for x in sorted(g)[1:]]
     assert rows_of(simhash.near_duplicates(docs)) == sorted(want, key=repr)
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows) - len(want)
@@ -104,8 +113,36 @@ def test_pivots_discard_no_near_pair():
             b[r, bit // 64] ^= np.uint64(1 << (int(bit) % 64))
     key = np.repeat(np.arange(200), 2)
     fp = np.stack([a, b], axis=1).reshape(400, 4)
-    i, j, d = simhash.near_pairs(key, fp)
-    assert {int(x) // 2 for x in i} == set(np.flatnonzero(np.bitwise_count(a ^ b).sum(axis=1) <= simhash.RADIUS).tolist()) and (d == np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)).all()
+    got = simhash.compared(key, fp, simhash.key_masks(simhash.key_plan(100)[1]), simhash.RADIUS)
+    near = np.bitwise_count(a ^ b).sum(axis=1) <= simhash.RADIUS
+    assert ((got.root[0::2] == got.root[1::2]) == near).all() and (got.links == np.repeat(near, 2)).all()
+
+
+def test_pivots_discard_far_pairs(spark):
+    """Nearly all pairs of unrelated texts go before their full fingerprints are compared."""
+    rng = random.Random(8)
+    docs = frame(spark, [(i, prose(rng, rng.randint(60, 400))) for i in range(300)])
+    fp = np.frombuffer(b"".join(r["_fp"] for r in simhash.fingerprint_docs(packed(docs)).collect()), dtype=np.uint64).reshape(-1, 4)
+    table = simhash.pivot_table(fp)
+    i, j = np.triu_indices(len(fp), 1)
+    far = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) > simhash.RADIUS
+    assert far.mean() > 0.99 and (~simhash.possible(table[i], table[j]))[far].mean() > 0.9
+
+
+def test_hot_buckets_are_cut(spark):
+    """With tiny chunks every bucket is compared chunk against chunk; the links are the same."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 64, (6, 4), dtype=np.uint64)
+    fp = np.repeat(base, 30, axis=0)
+    for r in range(len(fp)):
+        for bit in rng.choice(256, rng.integers(0, 40), replace=False):
+            fp[r, bit // 64] ^= np.uint64(1 << (int(bit) % 64))
+    df = spark.createDataFrame([(x.tobytes(),) for x in fp], "_fp binary").distinct()
+    def summed(chunk):
+        rows = simhash.near_fingerprints(df, chunk=chunk)
+        return rows_of(rows.groupBy("b").agg({"links": "sum"})), rows_of(simhash.components(rows.select("a", "b")))
+    assert summed(7) == summed(1 << 14)
+
 
 
 def paraphrase(rng, text, keep, noise):
@@ -154,7 +191,7 @@ def test_decontamination(spark, monkeypatch):
                 if np.isin(word, t[a:z]).mean() >= decontam.COVERED:
                     covered, answered = decontam.check(word, t[a:z])
                     if covered >= decontam.COVERED and answered >= decontam.ANSWERED:
-                        brute.add((r["_id"], items.ids[i]))
+                        brute.add((r["_id"], items.ids[i].as_py()))
                         break
     assert found <= brute and len(found & brute) >= 0.9 * len(brute)
     assert len(planted & found) >= 0.95 * len(planted) and (None, 3) in found and (300, 5) in found
@@ -279,3 +316,21 @@ def test_winnowing_keeps_one_of_each_window():
     for a in range(197):
         part = g[a : a + 4]
         assert a + max(k for k in range(4) if part[k] == part.min()) in kept
+
+
+def test_items_of_any_type_and_repeated_words(spark):
+    """String ids; an item of one word 600 times; both found whole, and a very long text around one."""
+    rng = random.Random(4)
+    item = prose(rng, 40)
+    bench = spark.createDataFrame([("q-1", item), ("q-2", " ".join(["again"] * 600)), ("q-1", "a second text of the same id, of eleven words in all")], "item_id string, text string")
+    rows = [(1, prose(rng, 200) + " " + item), (2, " ".join(["again"] * 640)), (3, prose(rng, 300)), (4, prose(rng, 200_000) + item + prose(rng, 50))]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(1, "q-1"), (2, "q-2"), (4, "q-1")}
+
+
+def test_very_long_texts_are_near_duplicates_too(spark):
+    rng = random.Random(6)
+    text = prose(rng, 250_000, 60_000)
+    assert len(text) > 1_000_000
+    got = rows_of(simhash.near_duplicates(frame(spark, [(1, text), (2, text + " one more"), (3, prose(rng, 3000, 60_000))])))
+    assert got == [(2, 1, 2, 1)] or got == [(2, 1, 2, 0)]
