@@ -195,6 +195,9 @@ def test_chat_windows(spark):
             assert len(tokens) == len(mask) == r.n_tokens <= 100 and sum(mask) == r.n_targets and tokens[: len(system)] == system and not any(mask[: len(system)])
             body = [x for _, t in rest[r.first_turn : r.end_turn] for x in t]
             room = 100 - len(system)
+            whole = [x for role, t in ids if role == "system" for x in t]
+            if r.end_turn == 0 and len(whole) > 50:  # the rest of a long system turn
+                body = whole[50:]
             assert tokens[len(system) :] == body[r.part * room : (r.part + 1) * room]
             assert sum(len(t) for _, t in rest[r.first_turn : r.new_turn]) <= 30
             targets += [x for x, m in zip(tokens, mask) if m]
