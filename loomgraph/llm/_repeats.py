@@ -2,28 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._rows import packed, unpacked
+from loomgraph.llm._rows import arrow_pass, packed, unpacked
+from loomgraph.llm._text import mix64, span_hash
 
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once a row: within a lambda, Spark would compute it again for each element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+
+class Units(NamedTuple):
+    """Units of a batch of texts in order: text number, bytes [start, end) of ``data`` that are compared, offsets of each text's units."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    bounds: np.ndarray
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
+
+class Runs(NamedTuple):
+    """Runs that count: units [first, end) of a batch."""
+
+    first: np.ndarray
+    end: np.ndarray
+
+
+def gathered(parts: list[bytes], cuts: list[list[int]]) -> Units:
+    """Units of texts that are cut at the given byte offsets."""
+    size = np.asarray([len(p) for p in parts], dtype=np.int64)
+    at = np.cumsum(size) - size
+    count = np.asarray([len(c) + 1 for c in cuts], dtype=np.int64)
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    inner = np.fromiter((x for c in cuts for x in c), dtype=np.int64, count=int(count.sum() - len(count))) + np.repeat(at, count - 1)
+    first, last = np.zeros(bounds[-1], dtype=bool), np.zeros(bounds[-1], dtype=bool)
+    first[bounds[:-1]], last[bounds[1:] - 1] = True, True
+    start, end = np.empty(bounds[-1], dtype=np.int64), np.empty(bounds[-1], dtype=np.int64)
+    start[first], start[~first] = at, inner
+    end[last], end[~last] = at + size, inner
+    return Units(np.frombuffer(b"".join(parts), dtype=np.uint8), start, end, bounds)
+
+
+def run_hashes(u: Units, r: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run: polynomials in the hashes of its units, which depend on the units' bytes and their order alone."""
+    out, n = [], len(u.start)
+    h = span_hash(u.data, u.start, u.end)
+    for base in _BASES:
+        power = np.concatenate((np.ones(1, dtype=np.uint64), np.cumprod(np.full(n, base, dtype=np.uint64))))
+        inverse = np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n, pow(int(base), -1, 1 << 64), dtype=np.uint64))))
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix64(h + base) * power[:n], dtype=np.uint64)))
+        out.append(mix64((sums[r.end] - sums[r.first]) * inverse[r.first] + (r.end - r.first).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
 def without_repeats(
-    docs: DataFrame, runs: Callable[[Column], Column], split: Callable[[str], list[str]], glue: str, run: int, id_col: str, text_col: str, removed: str | None
+    docs: DataFrame, units: Callable[[list[str]], Units], runs: Callable[[Units], Runs], split: Callable[[str], list[str]], glue: str, id_col: str, text_col: str, removed: str | None
 ) -> DataFrame:
     """``docs`` with the units covered by later occurrences of a run left out of the text.
 
-    ``runs`` makes of the text an array of (pos, h1, h2), one for each run of ``run`` units that counts. A run's
+    ``units`` cuts texts into what is compared, ``runs`` says which runs of units count. A run's
     first occurrence is the least (id, hash of the text, position), null ids before others; copies of one
-    row share all three, so all keep it. ``split`` cuts a text into the same units and ``glue`` joins what is left.
+    row share all three, so all keep it. ``split`` cuts a text into as many units and ``glue`` joins what is left.
     With a name in ``removed`` the result is (id, text, units removed) under that name; else the columns of ``docs``.
 
     Only hashes and positions are shuffled by hash. Repeated hashes are found by a grouping with partial sums
@@ -31,32 +78,41 @@ def without_repeats(
     one large group.
     """
     work = packed(docs, id_col, text_col)
-    found = (
-        work.select("_id", "_k", F.explode(runs(F.col("_text"))).alias("_r"))
-        .select("_id", "_k", F.col("_r.pos").alias("_pos"), F.col("_r.h1").alias("_h1"), F.col("_r.h2").alias("_h2"))
-    )
+    id_type = dict(work.dtypes)["_id"]
+
+    def find(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = batch.filter(batch.column(2).is_valid())
+        u = units(batch.column(2).to_pylist())
+        r = runs(u)
+        first, second = run_hashes(u, r)
+        doc = u.doc[r.first]
+        pos = r.first - u.bounds[doc]
+        of = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(pos, pa.int32()), pa.array(r.end - r.first, pa.int32()), pa.array(first), pa.array(second)], ["_id", "_k", "_pos", "_len", "_h1", "_h2"])
+
+    found = arrow_pass(work.select("_id", "_k", "_text"), find, f"_id {id_type}, _k long, _pos int, _len int, _h1 long, _h2 long")
     repeated = found.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_k", "_pos")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     later = found.join(repeated, ["_h1", "_h2"]).filter(~F.struct("_id", "_k", "_pos").eqNullSafe(F.col("_first")))
-    covered = later.groupBy("_id", "_k").agg(F.collect_set("_pos").alias("_at"))
+    covered = later.groupBy("_id", "_k").agg(F.collect_set(F.col("_pos").cast("long") * F.lit(1 << 32) + F.col("_len")).alias("_at"))
     right = covered.select(F.col("_id").alias("_id2"), F.col("_k").alias("_k2"), "_at")
     joined = work.join(right, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_k") == F.col("_k2")), "left")
 
     @F.pandas_udf("text string, removed int")
-    def cut(texts, starts):  # type: ignore[no-untyped-def]
+    def cut(texts, spans):  # type: ignore[no-untyped-def]
         import pandas as pd
 
-        out = [remove(t, s) for t, s in zip(texts, starts)]
+        out = [remove(t, s) for t, s in zip(texts, spans)]
         return pd.DataFrame(out, columns=["text", "removed"])
 
-    def remove(text: str | None, starts: np.ndarray | None) -> tuple[str | None, int]:
-        if text is None or starts is None:
+    def remove(text: str | None, spans: np.ndarray | None) -> tuple[str | None, int]:
+        if text is None or spans is None:
             return None, 0
-        units = split(text)
-        edge = np.zeros(len(units) + 1, dtype=np.int64)
-        np.add.at(edge, np.asarray(starts, dtype=np.int64), 1)
-        np.add.at(edge, np.asarray(starts, dtype=np.int64) + run, -1)
+        parts, spans = split(text), np.asarray(spans, dtype=np.int64)
+        edge = np.zeros(len(parts) + 1, dtype=np.int64)
+        np.add.at(edge, spans >> 32, 1)
+        np.add.at(edge, (spans >> 32) + (spans & 0xFFFFFFFF), -1)
         drop = np.cumsum(edge[:-1]) > 0
-        return glue.join(u for u, d in zip(units, drop) if not d), int(drop.sum())
+        return glue.join(u for u, d in zip(parts, drop) if not d), int(drop.sum())
 
     hit = F.col("_at").isNotNull()
     done = joined.withColumn("_cut", cut(F.when(hit, F.col("_text")), F.col("_at")))

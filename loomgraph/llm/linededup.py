@@ -6,25 +6,35 @@ position, is a repeat; the lines that repeats cover are merged and left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import re
 
-from loomgraph.llm._repeats import let, without_repeats
+import numpy as np
+from pyspark.sql import DataFrame
+
+from loomgraph.llm._repeats import Runs, Units, gathered, without_repeats
 
 #: Lines of a window.
 LINES = 3
+_BREAK = re.compile(rb"\n")
 
 
-def _windows(lines: int):  # type: ignore[no-untyped-def]
-    def windows(parts: Column) -> Column:
-        starts = F.when(F.size(parts) >= lines, F.sequence(F.lit(0), F.size(parts) - lines)).otherwise(F.array().cast("array<int>"))
-
-        def window(i: Column) -> Column:
-            return let(F.slice(parts, i + 1, F.lit(lines)), lambda run: F.struct(i.alias("pos"), F.xxhash64(run).alias("h1"), F.xxhash64(F.lit(lines), run).alias("h2"), (F.length(F.trim(F.array_join(run, ""))) == 0).alias("blank")))
+def _lines(texts: list[str]) -> Units:
+    """The lines of texts, each with the break that ends it; what is compared leaves the break out."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    u = gathered(parts, [[m.end() for m in _BREAK.finditer(p)] for p in parts])
+    inner = np.ones(len(u.start), dtype=np.int64)
+    inner[u.bounds[1:] - 1] = 0
+    return u._replace(end=u.end - inner)
 
-        return F.filter(F.transform(starts, window), lambda w: ~w.blank)
 
-    return lambda text: let(F.split(text, "\n", -1), windows)
+def windows(u: Units, lines: int = LINES) -> Runs:
+    """Every run of ``lines`` lines of one text that aren't all blank."""
+    first = np.arange(max(len(u.start) - lines + 1, 0))
+    doc = u.doc
+    ink = np.concatenate(([0], np.cumsum(u.data != 32)))
+    marks = np.concatenate(([0], np.cumsum(ink[u.end] - ink[u.start])))
+    first = first[(doc[first] == doc[first + lines - 1]) & (marks[first + lines] > marks[first])]
+    return Runs(first, first + lines)
 
 
 def dedup_lines(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", text_col: str = "text", removed: str | None = None) -> DataFrame:
@@ -38,4 +48,4 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", tex
     under their names, whatever these are. With ``removed`` the result is (id, text, number of
     lines removed under that name). An empty table gives an empty one.
     """
-    return without_repeats(docs, _windows(lines), lambda t: t.split("\n"), "\n", lines, id_col, text_col, removed)
+    return without_repeats(docs, _lines, lambda u: windows(u, lines), lambda t: t.split("\n"), "\n", id_col, text_col, removed)

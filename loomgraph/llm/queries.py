@@ -114,11 +114,13 @@ SELECT doc_id,
        coalesce(len(spots), 0)::INT AS lines_removed
 FROM l LEFT JOIN gone USING (doc_id)""",
     "op4_substring_dedup": f"""
-WITH l AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?;:,][ \\t\\r\\n]+|\\n[ \\t\\r\\n]*)', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM documents),
+WITH l AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?;:,][ \\t\\r\\n]+|[{spandedup.MARKS}][ \\t\\r\\n]*|\\n[ \\t\\r\\n]*)', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM documents),
 n AS (SELECT doc_id, list_transform(ss, lambda s: lower(trim(s, ' ' || chr(9) || chr(13) || chr(10)))) AS t FROM l),
-w AS (SELECT doc_id, i, array_to_string(t[i:i + 2], chr(10)) AS run FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM n)),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM w WHERE length(run) >= {spandedup.MIN_CHARS + 2}),
-gone AS (SELECT doc_id, list_distinct(flatten(list([i, i + 1, i + 2]))) AS spots FROM r WHERE k > 1 GROUP BY doc_id)
+s AS (SELECT doc_id, i, len(t) AS m, length(t[i]) AS c, sum(length(t[i])) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM n)),
+far AS (SELECT doc_id, z, min(i) AS j FROM s GROUP BY doc_id, z),
+e AS (SELECT s.doc_id AS doc_id, s.i AS i, s.m AS m, greatest(f.j, s.i + {spandedup.SENTENCES - 1}) AS j FROM s ASOF JOIN far f ON s.doc_id = f.doc_id AND s.z - s.c + {spandedup.MIN_CHARS} <= f.z),
+r AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY array_to_string(t[i:j], chr(10)) ORDER BY doc_id, i) AS k FROM e JOIN n USING (doc_id) WHERE j <= m),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, j + 1)))) AS spots FROM r WHERE k > 1 GROUP BY doc_id)
 SELECT doc_id,
        CASE WHEN spots IS NULL THEN text
             ELSE array_to_string(list_transform(list_filter(range(1, len(ss) + 1), lambda p: NOT list_contains(spots, p)), lambda p: ss[p]), '') END AS text,

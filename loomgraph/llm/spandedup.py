@@ -1,49 +1,56 @@
 """Substring deduplication by sliding spans of sentences.
 
-A sentence ends after . ! ? ; : or , with the white space that follows, or at a line end; long sentences of running text are thus
-compared clause by clause, which lets spans fit into a passage that was copied from the middle of one. Every run of
-``SENTENCES`` consecutive sentences with at least ``MIN_CHARS`` characters is hashed (128 bits, lower case, outer white space
-ignored) and joined globally; sentences covered by any occurrence but the first go.
+A sentence ends after . ! ? ; : or , with the white space that follows, after such a mark of Chinese, Japanese, Arabic or Hindi, or at a
+line end; long sentences of running text are thus compared clause by clause, which lets spans fit into a passage that was copied from the
+middle of one. From every sentence on, the shortest run of at least ``SENTENCES`` sentences and ``MIN_CHARS`` characters is a span. Spans are
+hashed (128 bits, lower case, outer white space ignored) and joined globally; sentences covered by any occurrence but the first go.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from loomgraph.llm._repeats import let, without_repeats
+from loomgraph.llm._repeats import Runs, Units, gathered, without_repeats
 
-#: Sentences of a span, and the least characters that make it count: shorter runs of short words repeat by chance.
-SENTENCES = 3
-MIN_CHARS = 50
-_END = "([.!?;:,][ \\t\\r\\n]+|\\n[ \\t\\r\\n]*)"
-_PY_END = re.compile(r"[.!?;:,][ \t\r\n]+|\n[ \t\r\n]*")
+#: Least sentences of a span, and least characters: a shorter run goes on until it has enough of both, as short lines repeat by chance.
+SENTENCES = 2
+MIN_CHARS = 100
+#: Ends of sentences that need no white space after them.
+MARKS = "。！？；：，、؟۔।"
+END = f"[.!?;:,][ \\t\\r\\n]+|[{MARKS}][ \\t\\r\\n]*|\\n[ \\t\\r\\n]*"
+_END = re.compile(END)
+_END_BYTES = re.compile(b"[.!?;:,][ \\t\\r\\n]+|(?:" + b"|".join(m.encode() for m in MARKS) + b")[ \\t\\r\\n]*|\\n[ \\t\\r\\n]*")
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text with what follows each; joined they give the text."""
-    cuts = [0, *(m.end() for m in _PY_END.finditer(text)), len(text)]
+    cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def _spans(count: int, min_chars: int):  # type: ignore[no-untyped-def]
-    mark = "\u0001"
+def _sentences(texts: list[str]) -> Units:
+    """The sentences of texts as they are compared."""
+    parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    u = gathered(parts, [[m.end() for m in _END_BYTES.finditer(p)] for p in parts])
+    ink = np.append(np.flatnonzero((u.data != 32) & (u.data != 9) & (u.data != 10) & (u.data != 13)), len(u.data))
+    start = ink[np.searchsorted(ink, u.start)]
+    last = np.searchsorted(ink, u.end) - 1
+    end = np.where(last >= 0, ink[np.maximum(last, 0)] + 1, 0)
+    some = start < u.end
+    return u._replace(start=np.where(some, start, u.start), end=np.where(some, end, u.start))
 
-    def spans(parts: Column) -> Column:
-        starts = F.when(F.size(parts) >= count, F.sequence(F.lit(0), F.size(parts) - count)).otherwise(F.array().cast("array<int>"))
 
-        def span(i: Column) -> Column:
-            return let(F.array_join(F.slice(parts, i + 1, F.lit(count)), "\n"), lambda run: F.struct(i.alias("pos"), F.xxhash64(run).alias("h1"), F.xxhash64(F.lit(count), run).alias("h2"), F.length(run).alias("n")))
-
-        return F.filter(F.transform(starts, span), lambda s: s.n >= min_chars + count - 1)
-
-    def of(text: Column) -> Column:
-        marked = F.regexp_replace(F.translate(text, mark, "\u0002"), _END, "$1" + mark)
-        return let(F.transform(F.split(marked, mark, -1), lambda s: F.lower(F.trim(s, F.lit(" \t\r\n")))), spans)
-
-    return of
+def spans(u: Units, count: int = SENTENCES, min_chars: int = MIN_CHARS) -> Runs:
+    """From each sentence the shortest run of one text with ``count`` sentences and ``min_chars`` characters, where there is one."""
+    chars = np.concatenate(([0], np.cumsum((u.data & 0xC0) != 0x80)))
+    sums = np.concatenate(([0], np.cumsum(chars[u.end] - chars[u.start])))
+    first = np.arange(len(u.start))
+    end = np.maximum(np.searchsorted(sums, sums[:-1] + min_chars), first + count)
+    fits = end <= u.bounds[1:][u.doc] if len(first) else np.zeros(0, dtype=bool)
+    return Runs(first[fits], end[fits])
 
 
 def dedup_spans(
@@ -52,10 +59,10 @@ def dedup_spans(
     """``docs`` without the sentences that a repeated span covers; see ``removed`` for the other form.
 
     The first occurrence in order of (id, hash of the text, position) stays, null ids before others; every
-    later one goes, within one document too, together with the white space after it. Documents with fewer sentences than a
+    later one goes, within one document too, together with the white space after it. Documents with fewer sentences or characters than a
     span are unchanged. A null text stays null, an empty one empty; a text of which all goes becomes empty and its row
     stays. Rows equal in id and text are one document: all copies come out alike. Other columns come along under their names,
     whatever these are. With ``removed`` the result is (id, text, number of sentences removed under that name).
     An empty table gives an empty one.
     """
-    return without_repeats(docs, _spans(count, min_chars), sentences, "", count, id_col, text_col, removed)
+    return without_repeats(docs, _sentences, lambda u: spans(u, count, min_chars), sentences, "", id_col, text_col, removed)

@@ -9,20 +9,34 @@ from tests.llm.data import EDGES, frame, prose, rows_of
 from tests.test_queries import SF, TABLES, same
 
 
-def brute(rows, split, glue, counts, key):
-    """{(id, text): text without later runs} of distinct rows; ``counts`` says whether a run counts, ``key`` what is compared."""
+def brute(rows, split, glue, runs, key):
+    """{(id, text): text without later runs} of distinct rows; ``runs`` gives the (first, end) of a text's units, ``key`` what is compared."""
     seen, out = set(), {}
     for i, text in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
         units, gone = split(text), set()
-        for p in range(len(units) - 2):
-            run = tuple(key(u) for u in units[p : p + 3])
-            if counts(run):
-                gone |= {p, p + 1, p + 2} if run in seen else set()
-                seen.add(run)
+        for p, e in runs([key(u) for u in units]):
+            run = tuple(key(u) for u in units[p:e])
+            gone |= set(range(p, e)) if run in seen else set()
+            seen.add(run)
         out[i, text] = (glue.join(u for p, u in enumerate(units) if p not in gone), len(gone))
     return out
 
 
+def line_runs(units):
+    return [(p, p + 3) for p in range(len(units) - 2) if "".join(units[p : p + 3]).strip(" ")]
+
+
+def span_runs(units):
+    out = []
+    for p in range(len(units)):
+        e, n = p, 0
+        while e < len(units) and (e - p < spandedup.SENTENCES or n < spandedup.MIN_CHARS):
+            n, e = n + len(units[e]), e + 1
+        if e - p >= spandedup.SENTENCES and n >= spandedup.MIN_CHARS:
+            out.append((p, e))
+    return out
+
+
 def corpus(seed, sentence_end):
     """Texts that share passages, some of them several times, with unique ids."""
     rng = random.Random(seed)
@@ -41,7 +55,7 @@ def corpus(seed, sentence_end):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines(spark, seed):
     rows = corpus(seed, "\n")
-    want = brute(rows, lambda t: t.split("\n"), "\n", lambda run: "".join(run).strip(" ") != "", lambda u: u)
+    want = brute(rows, lambda t: t.split("\n"), "\n", line_runs, lambda u: u)
     got = linededup.dedup_lines(frame(spark, rows))
     assert got.columns == frame(spark, rows).columns
     assert rows_of(got, "doc_id", "text") == sorted(((i, t if t is None else want[i, t][0]) for i, t in rows), key=repr)
@@ -52,7 +66,7 @@ def test_lines(spark, seed):
 @pytest.mark.parametrize("seed", [3, 4])
 def test_spans(spark, seed):
     rows = corpus(seed, ". ")
-    want = brute(rows, spandedup.sentences, "", lambda run: len("\n".join(run)) >= spandedup.MIN_CHARS + 2, lambda u: u.strip(" \t\r\n").lower())
+    want = brute(rows, spandedup.sentences, "", span_runs, lambda u: u.strip(" \t\r\n").lower())
     got = spandedup.dedup_spans(frame(spark, rows))
     assert rows_of(got, "doc_id", "text") == sorted(((i, t if t is None else want[i, t][0]) for i, t in rows), key=repr)
 
@@ -66,6 +80,23 @@ def test_ties_and_copies(spark):
         assert dedup(frame(spark, [])).isEmpty()
 
 
+def test_passages_from_the_middle_of_sentences(spark):
+    """Passages of over 50 words, pasted into other texts at any word; a short line in all texts stays."""
+    rng = random.Random(11)
+    texts = [prose(rng, 300) for _ in range(60)]
+    line = "A short line of few words."
+    rows = [(i, f"{line}\n{t}") for i, t in enumerate(texts)]
+    for i, t in enumerate(texts[:40]):
+        w, at = t.split(" "), rng.randrange(0, 200)
+        host = prose(rng, 120).split(" ")
+        rows.append((100 + i, " ".join(host[:60] + w[at : at + 55] + host[60:])))
+    rows.append((300, "".join(f"这是第{k}个很长的句子，里面有许多不同的字。" for k in range(40))))
+    rows.append((301, "".join(f"这是第{k}个很长的句子，里面有许多不同的字。" for k in range(5, 30)) + "结尾。"))
+    got = {r.doc_id: r.n for r in spandedup.dedup_spans(frame(spark, rows), removed="n").collect()}
+    assert sum(got[100 + i] > 0 for i in range(40)) >= 36 and got[301] > 30
+    assert not any(got[i] for i in range(60)) and not got[300]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
