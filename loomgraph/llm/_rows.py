@@ -1,32 +1,17 @@
-"""Row identity, staged tables and Arrow plumbing shared by the operators of this subpackage."""
+"""Row identity and Arrow plumbing shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.tables import shared_dir
-
 #: Characters of text that one step of a NumPy pass works on.
 PIECE_CHARS = 1_000_000
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; cuts lineage, survives the loss of executors.
-
-    The folder is new each time. It is left for the cluster's clean-up of that folder, as later
-    actions on the result read it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` as (_row, _id, _k, _text): the whole row as a struct, so that no column of it can clash with ours.
 

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._rows import arrow_pass, staged
-from loomgraph.operators.tables import shared_dir
+from loomgraph.llm._rows import arrow_pass
+from loomgraph.operators.tables import shared_dir, staged
 from loomgraph.llm._tokens import DEFAULT_VOCAB, END_OF_TEXT, encoder
 
 #: Ids of a sequence; a stride is twice as many bytes.

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 from loomgraph.llm import decontam, licenses, simhash
-from loomgraph.llm._rows import packed, staged
+from loomgraph.llm._rows import packed
 from loomgraph.llm._text import span_hash, words
+from loomgraph.operators.tables import staged
 from tests.llm.data import EDGES, frame, prose, rows_of
 
 
