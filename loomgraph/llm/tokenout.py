@@ -1,18 +1,19 @@
 """Token-ID output in training order: a keyed Feistel permutation gives every sequence its slot in fixed-stride shards.
 
-Each document is encoded and cut into sequences of ``LENGTH`` ids; the last is filled with the id that ends a document. Sequences
-are numbered 0 to N - 1 in the order of the staged table of documents. A Feistel network over the least even number
-of bits that holds N, walked until it falls below N, permutes the numbers: that is the training order, a bijection that needs no
+Documents are encoded, put in the order of a hash of id and text, and joined to one stream, each ended by the id that ends a document. Every
+``LENGTH`` ids of the stream are a sequence; the last is filled up. A Feistel network over the least even number
+of bits that holds the N sequences, walked until it falls below N, permutes their numbers: that is the training order, a bijection that needs no
 table and no sort. Slot s lies in shard s // ``SHARD_SEQUENCES`` at byte (s % ``SHARD_SEQUENCES``) * stride, so a reader
 finds any position by arithmetic and resumes anywhere.
 
-Encoding is done once, into a table in the shared folder; only sequences are shuffled, once, by ranges of slots.
+Encoding is done once. Ids travel compressed, first to their range of the hash, into a table in the shared folder, then, when the length of the
+stream is known, to their shard, which is put together in memory and written. Every work is done on whole pieces of many documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import posixpath
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._rows import arrow_pass
-from loomgraph.operators.tables import shared_dir, staged
+from loomgraph.llm._rows import pieces
 from loomgraph.llm._tokens import DEFAULT_VOCAB, END_OF_TEXT, encoder
+from loomgraph.operators.tables import shared_dir, staged
 
 #: Ids of a sequence; a stride is twice as many bytes.
 LENGTH = 1024
@@ -32,16 +33,24 @@ LENGTH = 1024
 SHARD_SEQUENCES = 8192
 KEY = "training-order-0"
 ROUNDS = 6
-#: Range partitions at most; each then writes several whole shards.
+#: Partitions at most, of hashes and of shards; each may hold several shards. What the driver collects is a number for each.
 MAX_PARTITIONS = 100_000
-#: Bytes of sequences in an Arrow batch at most.
-BATCH_BYTES = 1 << 26
+#: Copies of a row, in one task, that stay together.
+COPIES = 16
+#: Ids of documents that are compressed together.
+BLOCK_IDS = 1 << 20
 _PLACE = ["_id", "piece", "slot", "shard", "offset", "n_tokens"]
 
 
-def local_path(url: str) -> str:
-    """A ``file:`` URL as a path of the file system."""
-    return url[len("file://") :] if url.startswith("file://") else os.fspath(url)
+def open_folder(url: str):  # type: ignore[no-untyped-def]
+    """(file system, path) of a folder by its address; an absolute path is one of the mounted file system. Raises where there is no such file system."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(url.rstrip("/"))
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:06d}.bin"
 
 
 class Order(NamedTuple):
@@ -83,184 +92,203 @@ def permute(i: np.ndarray, o: Order, back: bool = False) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def sequences(ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """(k, length) sequences of a document's ids, ended and filled; none for a document without ids."""
-    if not len(ids):
-        return np.zeros((0, length), dtype="<u2")
-    out = np.full(-(-(len(ids) + 1) // length) * length, END_OF_TEXT, dtype="<u2")
-    out[: len(ids)] = ids
-    return out.reshape(-1, length)
-
-
-def ordered_sequences(
-    docs: DataFrame, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: str = KEY, vocab: str = DEFAULT_VOCAB, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, piece, slot, shard, offset, n_tokens, tokens): every sequence with its place, sorted by slot within ranges of whole shards.
-
-    ``tokens`` holds ``length`` little-endian 16-bit ids, ``n_tokens`` of them before the fill, the one that ends the document
-    included. Null and empty texts have no sequence. Repeated rows have sequences each, and so do several texts of one id. A
-    text of any length is encoded whole. Other columns aren't read, so their names can't clash. An empty table gives
-    an empty result. The numbering follows the staged table, which is written once: later reads and retries see the same slots.
-    """
-    id_type = dict(docs.dtypes)[id_col]
+def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_part, _id, _n, _ids) of one partition in order, gathered to rows (_part, _first, _id array, _n array, _ids) of many documents each."""
+    import zstandard
+
+    squeeze, expand = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+    held: list[tuple[pa.Array, np.ndarray, list[bytes]]] = []
+    part, first, size = 0, 0, 0
+
+    def block() -> pa.RecordBatch:
+        ids, n = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        offsets = pa.array([0, len(ids)], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([first]), pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, pa.array(n)), pa.array([squeeze.compress(b"".join(x for h in held for x in h[2]))], pa.binary())],
+            ["_part", "_first", "_id", "_n", "_ids"],
+        )
+
+    for batch in source:
+        n = np.asarray(batch.column(2), dtype=np.int64)
+        group = (size + np.cumsum(n) - n) // BLOCK_IDS
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            if held and g:
+                yield block()
+                first, size, held = first + size, 0, []
+            part = batch.column(0)[int(at[0])].as_py()
+            held.append((batch.column(1).slice(int(at[0]), len(at)), n[at], [expand.decompress(x.as_py()) for x in batch.column(3).slice(int(at[0]), len(at))]))
+            size += int(n[at].sum())
+    if held:
+        yield block()
+
+
+def token_stream(docs: DataFrame, vocab: str, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
+    """(staged blocks of the stream, ids before each part): (_part, _first, _id array, _n array, _ids), ``_first`` counting from the part's beginning."""
+    id_type, spark = dict(docs.dtypes)[id_col], docs.sparkSession
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS))
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from pyspark import TaskContext
 
-        from loomgraph.llm._rows import pieces
-
-        part, done, squeeze, enc = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1), encoder(vocab)
+        squeeze, enc, seen = zstandard.ZstdCompressor(level=3), encoder(vocab), {}
+        end = np.asarray([END_OF_TEXT], dtype="<u2").tobytes()
         for batch in source:
             for piece in pieces(batch):
-                ids = [enc.ids(t) for t in piece.column(1).to_pylist()]
-                count = np.asarray([-(-(len(x) + 1) // length) if len(x) else 0 for x in ids], dtype=np.int64)
-                first = done + np.cumsum(count) - count
-                done += int(count.sum())
-                out = pa.RecordBatch.from_arrays([piece.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(first), pa.array(count), pa.array([squeeze.compress(x.tobytes()) for x in ids], pa.binary())], ["_id", "_part", "_first", "_count", "_ids"])
-                yield out.filter(pa.array(count > 0))
-
-    source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    encoded = staged(source.mapInArrow(encode, f"_id {id_type}, _part int, _first long, _count long, _ids binary"), "token-ids")
-    parts = encoded.groupBy("_part").agg(F.sum("_count").alias("n")).orderBy("_part").collect()
-    base, total = {}, 0
-    for r in parts:  # one row for each task of the first pass
-        base[r["_part"]] = total
-        total += r["n"]
-    o = order(total, key)
-
-    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor()
-        ids = [np.frombuffer(expand.decompress(x), dtype="<u2") for x in batch.column(3).to_pylist()]
-        s = np.concatenate([sequences(x, length) for x in ids])
-        count = np.asarray([-(-(len(x) + 1) // length) for x in ids], dtype=np.int64)
-        end = np.cumsum(count)
-        row = np.repeat(np.arange(len(ids)), count)
-        piece = np.arange(len(s)) - (end - count)[row]
-        number = np.asarray([base[p] for p in batch.column(1).to_pylist()], dtype=np.int64) + np.asarray(batch.column(2), dtype=np.int64)
-        slot = permute(number[row] + piece, o)
-        n = np.full(len(s), length)
-        n[end - 1] = np.asarray([len(x) + 1 for x in ids]) - (count - 1) * length
-        step = max(1, BATCH_BYTES // (length * 2))
-        for k in (slice(at, at + step) for at in range(0, len(s), step)):
-            offsets = np.arange(len(s[k]) + 1, dtype=np.int32) * (length * 2)
-            tokens = pa.Array.from_buffers(pa.binary(), len(s[k]), [None, pa.py_buffer(offsets), pa.py_buffer(s[k])])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row[k])), pa.array(piece[k], pa.int32()), pa.array(slot[k]), pa.array(slot[k] // shard_sequences, pa.int32()),
-                    pa.array(slot[k] % shard_sequences * length * 2), pa.array(n[k], pa.int32()), tokens,
-                ],
-                [*_PLACE, "tokens"],
-            )
-
-    placed = arrow_pass(encoded.select("_id", "_part", "_first", "_ids"), cut, f"_id {id_type}, piece int, slot long, shard int, offset long, n_tokens int, tokens binary")
-    shards = max(1, -(-total // shard_sequences))
-    partitions = min(shards, MAX_PARTITIONS)
-    placed = placed.repartitionById(partitions, (F.col("shard").cast("long") * partitions / shards).cast("int")).sortWithinPartitions("slot")
-    return placed.select(F.col("_id").alias(id_col), "piece", "slot", "shard", "offset", "n_tokens", "tokens")
-
-
-class _Shards:
-    """Writes shards one after the other; each is hidden until it is whole, and then a row of the manifest."""
-
-    def __init__(self, root: str) -> None:
-        os.makedirs(root, exist_ok=True)
-        self.root, self.shard, self.file = root, None, None
-
-    def path(self, shard: int) -> str:
-        return f"{self.root}/shard-{shard:06d}.bin"
-
-    def write(self, shard: int, tokens: pa.Buffer) -> Iterator[pa.RecordBatch]:
-        if shard != self.shard:
-            yield from self.close()
-            self.temporary = f"{self.root}/.{uuid.uuid4().hex}"
-            self.shard, self.file, self.digest, self.n = shard, open(self.temporary, "wb"), hashlib.sha256(), 0  # noqa: SIM115
-        self.file.write(tokens)
-        self.digest.update(tokens)
-        self.n += 1
-
-    def close(self) -> Iterator[pa.RecordBatch]:
-        if self.file is not None:
-            self.file.close()
-            os.replace(self.temporary, self.path(self.shard))
-            yield pa.RecordBatch.from_arrays([pa.array([self.shard], pa.int32()), pa.array([self.path(self.shard)]), pa.array([self.n], pa.int64()), pa.array([self.digest.hexdigest()])], ["shard", "path", "sequences", "sha256"])
-            self.file = None
-
+                ids = [enc.ids(t) for t in piece.column(2).to_pylist()]
+                lot = []
+                for k in piece.column(1).to_pylist():
+                    seen[k] = times = seen.get(k, -1) + 1
+                    lot.append(times // COPIES)
+                n = np.asarray([len(x) + 1 if len(x) else 0 for x in ids], dtype=np.int64)
+                out = pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(lot, pa.int32()), pa.array(n), pa.array([squeeze.compress(x.tobytes() + end) for x in ids], pa.binary())], ["_id", "_k", "_lot", "_n", "_ids"])
+                yield out.filter(pa.array(n > 0))
+
+    source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("_k"), F.col(f"`{text_col}`").alias("_text"))
+    encoded = source.mapInArrow(encode, f"_id {id_type}, _k long, _lot int, _n long, _ids binary").withColumn("_h", F.xxhash64("_k", "_lot"))
+    ranged = encoded.withColumn("_part", F.floor((F.col("_h") / 2.0**64 + 0.5) * parts).cast("int")).withColumn("_part", F.least("_part", F.lit(parts - 1)))
+    ordered = ranged.repartitionById(parts, "_part").sortWithinPartitions("_h", "_k", "_id", "_n").select("_part", "_id", "_n", "_ids")
+    stream = staged(ordered.mapInArrow(_blocks, f"_part int, _first long, _id array<{id_type}>, _n array<long>, _ids binary"), "token-stream")
+    sizes = np.zeros(parts + 1, dtype=np.int64)
+    for r in stream.groupBy("_part").agg(F.sum(F.aggregate("_n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect():
+        sizes[r["_part"] + 1] = r["n"]
+    return stream, np.cumsum(sizes)
+
+
+def placed(first: int, n: np.ndarray, o: Order, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(document, piece of it, slot, first id in the sequence, ids) of the stretches of documents of ``n`` ids each that lie in one sequence; ``first`` is where they begin in the stream."""
+    end = first + np.cumsum(n)
+    start = end - n
+    count = (end - 1) // length - start // length + 1
+    doc = np.repeat(np.arange(len(n)), count)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    number = start[doc] // length + piece
+    a, z = np.maximum(start[doc], number * length), np.minimum(end[doc], (number + 1) * length)
+    return doc, piece, permute(number, o), a - number * length, z - a
+
+
+def written_sequences(
+    docs: DataFrame, folder: str | None = None, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: str = KEY, vocab: str = DEFAULT_VOCAB, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Write all shards and return (id, piece, slot, shard, offset, n_tokens, tokens, path): where each stretch of each document lies, a row for each sequence that it reaches into.
 
-def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
-    """Write each shard of ``ordered_sequences`` as ``shard-NNNNNN.bin`` in ``folder``, a mounted path that all executors share; returns (shard, path, sequences, sha256).
+    Writes at once, to ``folder`` (any address that PyArrow has a file system for), by default a new one in the shared folder; beside each shard is its SHA-256.
+    ``tokens`` are the stretch's ``n_tokens`` little-endian 16-bit ids, the one that ends a document included, read from byte ``offset`` of the shard at ``path`` when the result is used.
+    Null and empty texts have no ids. Several texts of one id are documents of their own. A text of any length is encoded whole. Other columns aren't
+    read, so their names can't clash. An empty table gives an empty result and no shard. Slots depend on ids, texts and the key, not on partitions; only
+    of rows equal in id and text, those beyond ``COPIES`` in one task are placed by task.
 
-    A shard is written under another name and renamed when it is whole, so a task that is run again leaves the same file.
+    A shard is written under another name and moved when it is whole, so a task that is run again leaves the same file.
     """
-    root = local_path(folder)
-
-    def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Shards(root)
-        for batch in source:
-            for s, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from out.write(s, tokens.as_buffer())
-        yield from out.close()
-
-    return ordered.select("shard", "tokens").mapInArrow(write, "shard int, path string, sequences long, sha256 string")
+    root = folder or f"{shared_dir(docs.sparkSession)}/token-shards-{uuid.uuid4().hex}"
+    system, _ = open_folder(root)
+    id_type = dict(docs.dtypes)[id_col]
+    stream, before = token_stream(docs, vocab, id_col, text_col)
+    total = -(-int(before[-1]) // length)
+    o, held = order(total, key), docs.sparkSession.sparkContext.broadcast(before)
+    shards = max(1, -(-total // shard_sequences))
 
+    def spread(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def written_sequences(docs: DataFrame, folder: str | None = None, length: int = LENGTH, id_col: str = "doc_id", **options) -> DataFrame:  # type: ignore[no-untyped-def]
-    """``ordered_sequences`` with its shards written: (id, piece, slot, shard, offset, n_tokens, tokens, path).
+        squeeze, expand = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+        for batch in source:
+            for row in range(batch.num_rows):
+                ids = np.frombuffer(expand.decompress(batch.column(4)[row].as_py()), dtype="<u2")
+                n = batch.column(3)[row].values.to_numpy()
+                doc, piece, slot, at, size = placed(int(held.value[batch.column(0)[row].as_py()]) + batch.column(1)[row].as_py(), n, o, length)
+                begin = np.cumsum(size) - size
+                by = np.lexsort((slot, slot // shard_sequences))
+                doc, piece, slot, at, size, begin = (x[by] for x in (doc, piece, slot, at, size, begin))
+                moved = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(ids))]
+                shard = slot // shard_sequences
+                cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(shard))
+                sums = np.concatenate(([0], np.cumsum(size)))
+                lists = [batch.column(2)[row].values.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(slot % shard_sequences, pa.int32()), pa.array(at, pa.int32()), pa.array(size, pa.int32())]
+                blobs = [squeeze.compress(moved[sums[a] : sums[z]].tobytes()) for a, z in zip(cut, cut[1:])]
+                offsets = pa.array(cut, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]], pa.int32()), *(pa.ListArray.from_arrays(offsets, x) for x in lists), pa.array(blobs, pa.binary())], ["_shard", "_id", "_piece", "_slot", "_at", "_n", "_ids"])
+
+    def finish(shard: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Put a shard together and write it; the rows of its index by slot."""
+        import zstandard
 
-    Writes every shard, at once, to ``folder``, by default a new one in the shared folder. ``path`` and ``offset`` say where a sequence
-    lies, and beside each shard is its SHA-256; ``tokens`` are read from there when the result is used. Other ``options`` are those of ``ordered_sequences``.
-    """
-    root = local_path(folder or f"{shared_dir(docs.sparkSession)}/token-shards-{uuid.uuid4().hex}")
-    ordered = ordered_sequences(docs, length, id_col=id_col, **options)
-    id_type = dict(ordered.dtypes)[id_col]
+        expand, at_root = zstandard.ZstdDecompressor(), open_folder(root)[1]
+        ids, piece, slot, at, n = (pa.concat_arrays([b.column(c).flatten() for b in rows]) for c in range(1, 6))
+        slot, at, n = (np.asarray(x, dtype=np.int64) for x in (slot, at, n))
+        whole = min(shard_sequences, total - shard * shard_sequences) * length
+        body = np.full(whole, END_OF_TEXT, dtype="<u2")
+        flat = np.frombuffer(b"".join(expand.decompress(x.as_py()) for b in rows for x in b.column(6)), dtype="<u2")
+        to = slot * length + at
+        body[np.repeat(to - (np.cumsum(n) - n), n) + np.arange(len(flat))] = flat
+        if whole - len(flat) >= length:
+            raise ValueError(f"shard {shard} lacks ids")
+        path = posixpath.join(at_root, shard_name(shard))
+        data = memoryview(body.view(np.uint8))
+        for name, content in ((path, data), (f"{path}.sha256", f"{hashlib.sha256(data).hexdigest()}  {shard_name(shard)}\n".encode())):
+            hidden = posixpath.join(at_root, f".{uuid.uuid4().hex}")
+            with system.open_output_stream(hidden) as f:
+                f.write(content)
+            system.move(hidden, name)
+        by = pa.array(np.argsort(to, kind="stable"))
+        first = np.full(len(to), shard * shard_sequences) + slot
+        columns = [ids, piece, pa.array(first), pa.array(np.full(len(to), shard), pa.int32()), pa.array(to * 2), n_of(n), pa.array([f"{root.rstrip('/')}/{shard_name(shard)}"] * len(to))]
+        return pa.RecordBatch.from_arrays([c.take(by) for c in columns], [*_PLACE, "path"])
+
+    def n_of(n: np.ndarray) -> pa.Array:
+        return pa.array(n, pa.int32())
 
     def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Shards(root)
-
-        def note(closed: Iterator[pa.RecordBatch]) -> None:
-            for row in closed:
-                path, digest = row.column(1)[0].as_py(), row.column(3)[0].as_py()
-                temporary = f"{root}/.{uuid.uuid4().hex}"
-                with open(temporary, "w") as file:
-                    file.write(f"{digest}  {os.path.basename(path)}\n")
-                os.replace(temporary, f"{path}.sha256")
-
+        system.create_dir(open_folder(root)[1], recursive=True)
+        shard, rows = None, []
         for batch in source:
-            of = batch.column(3).to_pylist()
-            for s, tokens in zip(of, batch.column(6)):
-                note(out.write(s, tokens.as_buffer()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([out.path(s) for s in of], pa.string())], [*_PLACE, "path"])
-        note(out.close())
-
-    schema = f"_id {id_type}, piece int, slot long, shard int, offset long, n_tokens int"
-    index = staged(ordered.toDF(*_PLACE, "tokens").mapInArrow(write, f"{schema}, path string"), "token-index")
+            of = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, z in zip(cuts, cuts[1:]):
+                if z > a:
+                    if rows and int(of[a]) != shard:
+                        yield finish(shard, rows)
+                        rows = []
+                    shard = int(of[a])
+                    rows.append(batch.slice(a, z - a))
+        if rows:
+            yield finish(shard, rows)
 
     def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, shard = None, None
+        path, data = None, b""
         for batch in source:
             tokens = []
-            for at, of in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist()):
+            for at, n, of in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
                 if of != path:
-                    path, shard = of, np.memmap(of, dtype=np.uint8, mode="r")
-                if at + length * 2 > len(shard):
-                    raise ValueError(f"{of} ends before byte {at + length * 2}")
-                tokens.append(shard[at : at + length * 2].tobytes())
+                    own, place = open_folder(of)
+                    with own.open_input_file(place) as f:
+                        path, data = of, f.read()
+                if at + n * 2 > len(data):
+                    raise ValueError(f"{of} ends before byte {at + n * 2}")
+                tokens.append(data[at : at + n * 2])
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(tokens, pa.binary()), batch.column(6)], [*_PLACE, "tokens", "path"])
 
+    schema = f"_id {id_type}, piece int, slot long, shard int, offset long, n_tokens int"
+    partitions = min(shards, MAX_PARTITIONS)
+    spread_out = stream.mapInArrow(spread, f"_shard int, _id array<{id_type}>, _piece array<int>, _slot array<int>, _at array<int>, _n array<int>, _ids binary")
+    met = spread_out.repartitionById(partitions, (F.col("_shard").cast("long") * partitions / shards).cast("int")).sortWithinPartitions("_shard")
+    index = staged(met.mapInArrow(write, f"{schema}, path string"), "token-index")
     return index.mapInArrow(read, f"{schema}, tokens binary, path string").select(F.col("_id").alias(id_col), *_PLACE[1:], "tokens", "path")
 
 
 def read_slots(folder: str, slot: int, count: int, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> np.ndarray:
     """(up to count, length) ids of consecutive slots from ``slot`` on: a resumed sequential read."""
-    root, found = local_path(folder), []
+    from pyarrow import fs
+
+    (system, root), found = open_folder(folder), []
     while count > 0:
-        path = f"{root}/shard-{slot // shard_sequences:06d}.bin"
-        if not os.path.exists(path):
+        path = posixpath.join(root, shard_name(slot // shard_sequences))
+        if system.get_file_info(path).type != fs.FileType.File:
             break
         at = slot % shard_sequences
-        ids = np.fromfile(path, dtype="<u2", count=min(count, shard_sequences - at) * length, offset=at * length * 2).reshape(-1, length)
+        with system.open_input_file(path) as f:
+            f.seek(at * length * 2)
+            ids = np.frombuffer(f.read(min(count, shard_sequences - at) * length * 2), dtype="<u2").reshape(-1, length)
         if not len(ids):
             break
         found.append(ids)

@@ -127,31 +127,61 @@ def test_permutation(n):
         assert abs(np.corrcoef(np.arange(n), slots)[0, 1]) < 0.1
 
 
+def stream_of(rows):
+    """The ids of every row, whole: what each row's stretches must add up to."""
+    enc = encoder()
+    return sorted(((i, (*enc.ids(t).tolist(), END_OF_TEXT)) for i, t in rows if t), key=repr)
+
+
+def documents_in(got, length):
+    """Walk the sequences by number, undoing the permutation with plain steps, and cut the stream at the ends of documents."""
+    total = max(r.slot for r in got) + 1
+    slot_of = tokenout.permute(np.arange(total), tokenout.order(total)).tolist()
+    assert sorted(slot_of) == list(range(total))
+    number = {s: k for k, s in enumerate(slot_of)}
+    out, open_ = [], None
+    for r in sorted(got, key=lambda r: number[r.slot] * length * 2 + r.offset % (length * 2)):
+        ids = np.frombuffer(r.tokens, "<u2").tolist()
+        assert len(ids) == r.n_tokens and (r.piece == 0) == (open_ is None)
+        open_ = (r.doc_id, (*(open_[1] if open_ else ()), *ids))
+        if ids[-1] == END_OF_TEXT:
+            out.append(open_)
+            open_ = None
+    assert open_ is None
+    return sorted(out, key=repr)
+
+
 def test_token_output_round_trip(spark, tmp_path):
     rng = random.Random(2)
-    rows = [(i, prose(rng, rng.randint(1, 200))) for i in range(40)] + [(100 + i, t) for i, t in enumerate(EDGES)] + [(3, "second text of 3"), (None, "no id"), (7, "twice"), (7, "twice")]
-    ordered = tokenout.ordered_sequences(frame(spark, rows), length=32, shard_sequences=16)
-    got = ordered.collect()
-    total = len(got)
-    assert sorted(r.slot for r in got) == list(range(total)) and all((r.shard, r.offset) == (r.slot // 16, r.slot % 16 * 64) and len(r.tokens) == 64 for r in got)
-    texts, enc = [], encoder()
-    parts = {}
-    for r in got:
-        parts.setdefault(r.doc_id, []).append(r)
-    for i, pieces in parts.items():
-        ids = [np.frombuffer(p.tokens, "<u2")[: p.n_tokens] for p in sorted(pieces, key=lambda p: p.piece)]
-        if sum(1 for k, t in rows if k == i and t) == 1:
-            flat = np.concatenate(ids)
-            assert flat[-1] == END_OF_TEXT and (flat[:-1] != END_OF_TEXT).all()
-            texts.append((i, enc.text(flat)))
-    assert sorted(texts, key=repr) == sorted(((i, t) for i, t in rows if t and sum(1 for k, u in rows if k == i and u) == 1), key=repr)
-    written = tokenout.write_shards(ordered, f"file://{tmp_path}/shards", length=32).collect()
-    assert sum(r.sequences for r in written) == total and [r.shard for r in sorted(written)] == list(range(-(-total // 16)))
+    rows = [(i, prose(rng, rng.randint(1, 200))) for i in range(40)] + [(100 + i, t) for i, t in enumerate(EDGES)] + [(3, "second text of 3"), (None, "no id"), *[(7, "again")] * 40]
+    got = tokenout.written_sequences(frame(spark, rows), f"file://{tmp_path}/shards", length=32, shard_sequences=16).collect()
+    assert documents_in(got, 32) == stream_of(rows)
+    assert all(r.shard == r.slot // 16 and r.offset // 64 == r.slot % 16 for r in got)
+    total = max(r.slot for r in got) + 1
     whole = tokenout.read_slots(f"file://{tmp_path}/shards", 0, total + 5, 32, 16)
-    by_slot = {r.slot: r.tokens for r in got}
-    assert [x.tobytes() for x in whole] == [by_slot[s] for s in range(total)]
+    assert len(whole) == total == -(-sum(len(x) for _, x in stream_of(rows)) // 32), "no fill but in the last sequence"
+    for r in got:
+        a = r.offset % 64 // 2
+        assert whole[r.slot][a : a + r.n_tokens].tobytes() == r.tokens
     assert tokenout.read_slots(f"file://{tmp_path}/shards", 13, 9, 32, 16).tolist() == whole[13:22].tolist(), "a read may begin and end anywhere"
-    assert tokenout.ordered_sequences(frame(spark, [])).isEmpty()
+    for shard in range(-(-total // 16)):
+        path = f"{tmp_path}/shards/shard-{shard:06d}.bin"
+        assert open(path + ".sha256").read().split() == [hashlib.sha256(open(path, "rb").read()).hexdigest(), f"shard-{shard:06d}.bin"]
+    assert tokenout.written_sequences(frame(spark, [])).isEmpty() and tokenout.written_sequences(frame(spark, [(1, None), (2, "")])).isEmpty()
+
+
+def test_training_order_is_the_same_for_other_partitions(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.randint(1, 300))) for i in range(60)] + [(4, "another text"), (9, "twice"), (9, "twice")]
+    places = [rows_of(tokenout.written_sequences(frame(spark, rows).repartition(n), length=64, shard_sequences=8), "doc_id", "piece", "slot", "offset", "n_tokens") for n in (1, 3, 7)]
+    assert places[0] == places[1] == places[2]
+    other = rows_of(tokenout.written_sequences(frame(spark, rows), length=64, shard_sequences=8, key="another key"), "doc_id", "piece", "slot", "offset", "n_tokens")
+    assert other != places[0]
+
+
+def test_shards_need_a_file_system(spark):
+    with pytest.raises(Exception, match="nowhere"):
+        tokenout.written_sequences(frame(spark, [(1, "a text")]), "nowhere://bucket/shards").collect()
 
 
 def test_token_output_query_writes_its_shards(spark, tmp_path):
@@ -159,16 +189,10 @@ def test_token_output_query_writes_its_shards(spark, tmp_path):
     rows = [(i, prose(rng, rng.randint(1, 3000))) for i in range(30)] + [(100 + i, t) for i, t in enumerate(EDGES)] + [(None, "no id")]
     frame(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op5_token_output(spark, str(tmp_path)).collect()
-    want = tokenout.ordered_sequences(frame(spark, rows, extra=False)).collect()
-    assert len(got) == len(want) and len({r.path for r in got}) == 1
-    whole = open(got[0].path, "rb").read()
-    assert len(whole) == len(got) * tokenout.LENGTH * 2 and open(got[0].path + ".sha256").read().split() == [hashlib.sha256(whole).hexdigest(), "shard-000000.bin"]
-    assert all(r.tokens == whole[r.offset : r.offset + tokenout.LENGTH * 2] for r in got)
-    assert sorted((repr(r.doc_id), r.piece, r.n_tokens, r.tokens) for r in got) == sorted((repr(r.doc_id), r.piece, r.n_tokens, r.tokens) for r in want)
-    small = tokenout.written_sequences(frame(spark, rows), f"file://{tmp_path}/small", length=32, shard_sequences=16).collect()
-    read = tokenout.read_slots(f"file://{tmp_path}/small", 0, len(small) + 5, 32, 16)
-    assert [x.tobytes() for x in read] == [r.tokens for r in sorted(small, key=lambda r: r.slot)] and all(open(r.path, "rb").read()[r.offset : r.offset + 64] == r.tokens for r in small[:50])
-    assert tokenout.written_sequences(frame(spark, [])).isEmpty()
+    assert documents_in(got, tokenout.LENGTH) == stream_of(rows)
+    whole = open(got[0].path.removeprefix("file://"), "rb").read()
+    assert len({r.path for r in got}) == 1 and len(whole) == (max(r.slot for r in got) + 1) * tokenout.LENGTH * 2
+    assert all(r.tokens == whole[r.offset : r.offset + 2 * r.n_tokens] for r in got)
 
 
 def test_chat_windows(spark):
