@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sanitize(text: Column, length: int = 256) -> Column:
     """Drop control characters but tab and newline, then cut."""
     return F.substring(F.regexp_replace(text, "[\\x00-\\x08\\x0B-\\x1F]", ""), 1, length)
@@ -53,16 +58,18 @@ def line_count(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text as an array, without an empty one after the last line end."""
-    body = F.regexp_replace(text, f"({LINE_END})\\z", "")
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, LINE_END, -1))
+    return let(F.split(text, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def numbered(text: Column, limit: int) -> Column:
     """Up to ``limit`` lines as 'n: line', then a note on how many more there are."""
-    rows = lines(text)
-    shown = F.array_join(F.transform(F.slice(rows, 1, limit), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x)), "\n")
-    rest = F.size(rows) - limit
-    return F.when(rest > 0, F.concat(shown, F.lit("\n... ("), rest.cast("string"), F.lit(" more lines)"))).otherwise(shown)
+
+    def told(rows: Column) -> Column:
+        shown = F.array_join(F.transform(F.slice(rows, 1, limit), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x)), "\n")
+        rest = F.size(rows) - limit
+        return F.when(rest > 0, F.concat(shown, F.lit("\n... ("), rest.cast("string"), F.lit(" more lines)"))).otherwise(shown)
+
+    return let(lines(text), told)
 
 
 def like_word(column: Column, word: str) -> Column:

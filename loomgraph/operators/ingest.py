@@ -17,17 +17,7 @@ from loomgraph.operators import joins, store as stores, xref
 from loomgraph.operators.store import GraphStore
 from loomgraph.operators.tables import staged
 from loomgraph.sources import files as sources
-from loomgraph.sources.registry import parse_files, parsed_edges, parsed_nodes
-
-#: Edges that detectors find have numbers from here on.
-_FOUND = 1 << 60
-
-
-def _next(store: GraphStore) -> int:
-    """The first free number of the order of rows."""
-    last = store.nodes.select("ord").unionByName(store.edges.select("ord")).filter(F.col("ord") < _FOUND).agg(F.max("ord")).first()[0]
-    return 0 if last is None else last + 1
-
+from loomgraph.sources.registry import numbered, parse_files, parsed_edges, parsed_nodes
 
 def _totals(parsed: DataFrame) -> tuple[int, int, int]:
     """(files, nodes, edges) as emitted, before equal rows are merged."""
@@ -57,15 +47,16 @@ def build_roots(store: GraphStore, roots: list[str]) -> dict[str, Any]:
 
 def build_files(store: GraphStore, files: DataFrame, roots: list[str]) -> dict[str, Any]:
     """``build_roots`` with the table of files (file_path, content) given, the whole of what is under the roots."""
-    parsed = staged(parse_files(files.dropDuplicates(["file_path"]), _next(store)), "parsed")
+    first = store.begin()
+    parsed, following = numbered(staged(parse_files(files.dropDuplicates(["file_path"])), "parsed"), first)
     current = parsed.select("file_path")
     gone = reduce(DataFrame.unionByName, [stores.stale_files(store.nodes, current, r) for r in roots])
     replaced = parsed.filter("error IS NULL").select("file_path").unionByName(gone).distinct()
-    nodes = staged(stores.upsert_nodes(stores.replace_files(store.nodes, replaced, parsed_nodes(parsed))), "nodes")
-    edges = staged(stores.upsert_edges(stores.replace_files(store.edges, replaced, parsed_edges(parsed, current))), "edges")
+    nodes = staged(stores.replace_files(store.nodes, replaced, stores.upsert_nodes(parsed_nodes(parsed))), "nodes")
+    edges = staged(stores.replace_files(store.edges, replaced, stores.upsert_edges(parsed_edges(parsed, current))), "edges")
     across = staged(xref.detect(nodes, edges), "across")
     n_across, (_, n_nodes, n_edges) = across.count(), _totals(parsed)
-    store.commit(nodes, edges.unionByName(across), _stamp("full"))
+    store.commit(nodes, stores.upsert_edges(edges.unionByName(across)) if n_across else edges, _stamp("full"), following, unique=True)
     return {"files_parsed": parsed.count(), "total_nodes": n_nodes, "total_edges": n_edges + n_across, "cross_ref_edges": n_across, "errors": _errors(parsed, roots[0] if len(roots) == 1 else "")}
 
 
@@ -74,17 +65,18 @@ def full_build(store: GraphStore, root: str) -> dict[str, Any]:
     return build_roots(store, [root])
 
 
-def replace_parsed(store: GraphStore, parsed: DataFrame, removed: DataFrame, kind: str) -> tuple[int, int]:
-    """Put the rows of parsed files in place of what the store has of them, and take removed files out; (nodes, edges) as emitted."""
+def replace_parsed(store: GraphStore, parsed: DataFrame, removed: DataFrame, kind: str, first: int) -> tuple[int, int]:
+    """Put the rows of parsed files in place of what the store has of them, and take removed files out; (nodes, edges) as emitted. Numbers begin at ``first``."""
+    parsed, following = numbered(parsed, first)
     paths = parsed.filter("error IS NULL").select("file_path").unionByName(removed.select("file_path"))
     known = store.nodes.filter("kind = 'File'").select("file_path").unionByName(parsed.select("file_path")).join(removed.select("file_path"), "file_path", "left_anti")
-    store.replace(paths, parsed_nodes(parsed), parsed_edges(parsed, known), _stamp(kind))
+    store.replace(paths, parsed_nodes(parsed), parsed_edges(parsed, known), _stamp(kind), following)
     return _totals(parsed)[1:]
 
 
-def unstored(files: DataFrame, nodes: DataFrame) -> DataFrame:
+def unstored(files: DataFrame, store: GraphStore) -> DataFrame:
     """Files (file_path, content) of which the store hasn't got the content."""
-    stored = nodes.groupBy("file_path").agg(F.min_by("file_hash", "ord").alias("file_hash"))
+    stored = store.nodes_of(files).groupBy("file_path").agg(F.min_by("file_hash", "ord").alias("file_hash"))
     return files.withColumn("file_hash", F.sha2("content", 256)).join(stored, ["file_path", "file_hash"], "left_anti").select("file_path", "content")
 
 
@@ -95,6 +87,7 @@ def incremental_update(store: GraphStore, root: str, base: str = "HEAD~1", chang
     a file that was replaced are gone until the next build.
     """
     spark, root = store.spark, root.rstrip("/")
+    first = store.begin()
     changed = sources.changed_since(root, base) if changed is None else changed
     if not changed:
         return dict.fromkeys(("files_updated", "total_nodes", "total_edges"), 0) | {k: [] for k in ("errors", "dependent_files", "changed_files")}
@@ -103,9 +96,10 @@ def incremental_update(store: GraphStore, root: str, base: str = "HEAD~1", chang
     names = sorted({*changed, *dependent})
     wanted = sources.paths_table(spark, root, names)
     contents = staged(sources.read_contents(wanted), "contents")
-    unignored = spark.createDataFrame([(f"{root}/{n}", n) for n in names], "file_path string, name string").filter(~sources.matches_any(F.col("name"), sources.ignore_patterns(root)))
-    there = spark.createDataFrame([(f"{root}/{n}",) for n in names if sources.os.path.isfile(f"{root}/{n}")], "file_path string")
-    removed = unignored.select("file_path").join(there, "file_path", "left_anti")
-    parsed = staged(parse_files(unstored(contents.filter("content IS NOT NULL"), store.nodes), _next(store)), "parsed")
-    nodes, edges = replace_parsed(store, parsed, removed, "incremental")
+    patterns = sources.ignore_patterns(root) if "://" not in root else sources.IGNORED
+    unignored = spark.createDataFrame([(f"{root}/{n}", n) for n in names], "file_path string, name string").filter(~sources.matches_any(F.col("name"), patterns))
+    gone = sources.read_contents(unignored).filter("content IS NULL").select("file_path")
+    removed = staged(gone, "removed")
+    parsed = staged(parse_files(unstored(contents.filter("content IS NOT NULL"), store)), "parsed")
+    nodes, edges = replace_parsed(store, parsed, removed, "incremental", first)
     return {"files_updated": len(names), "total_nodes": nodes, "total_edges": edges, "changed_files": list(changed), "dependent_files": dependent, "errors": _errors(parsed, root)}

@@ -28,6 +28,17 @@ def targets_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("target_qualified").alias("qualified_name")), "qualified_name")
 
 
+def found_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The node of each target, once."""
+    return nodes.join(edges.select(F.col("target_qualified").alias("qualified_name")), "qualified_name", "left_semi")
+
+
+def within_files(nodes: DataFrame, kinds: list[str]) -> DataFrame:
+    """(source_qualified, target_qualified): nodes of some kinds with the File node of their file."""
+    files = nodes.filter("kind = 'File'").select("file_path", F.col("qualified_name").alias("target_qualified"))
+    return nodes.filter(F.col("kind").isin(kinds)).join(files, "file_path").select(F.col("qualified_name").alias("source_qualified"), "target_qualified")
+
+
 def edges_among(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Edges with both ends in ``names`` (qualified_name)."""
     a = names.select(F.col("qualified_name").alias("source_qualified"))

@@ -26,6 +26,22 @@ def files(nodes: DataFrame) -> DataFrame:
     return nodes.filter("kind = 'File'").select("file_path").distinct()
 
 
+def files_count(nodes: DataFrame) -> DataFrame:
+    """One row with the number of files."""
+    return nodes.agg(F.count_if(F.col("kind") == "File").alias("files_count"))
+
+
+def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: files with nodes, their nodes and edges."""
+    a, b = (rows.groupBy("file_path").agg(F.count(F.lit(1)).alias(name)) for rows, name in ((nodes, "nodes"), (edges, "edges")))
+    return a.join(b, "file_path", "left").agg(F.count(F.lit(1)).alias("files"), F.sum("nodes").alias("nodes"), F.sum(F.coalesce("edges", F.lit(0))).alias("edges"))
+
+
+def names_of(nodes: DataFrame, kind: str) -> DataFrame:
+    """(name, keys) of the nodes of a kind: the keys that have the name, sorted."""
+    return nodes.filter(F.col("kind") == kind).groupBy("name").agg(F.array_sort(F.collect_set("qualified_name")).alias("keys"))
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: totals, counts by kind as maps, sorted languages, number of files."""
     def side(rows: DataFrame, total: str, kinds: str, *more) -> DataFrame:  # type: ignore[no-untyped-def]

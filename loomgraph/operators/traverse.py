@@ -29,8 +29,12 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def dependency_links(edges: DataFrame) -> DataFrame:
-    """(a, b) in both directions for edges along which changes spread, after parallel ones were merged."""
-    strong = adjacency(edges).filter(F.col("kind").isin(DEPENDENCY_KINDS)).select(F.col("source_qualified").alias("a"), F.col("target_qualified").alias("b"))
+    """(a, b) in both directions for edges along which changes spread, after parallel ones were merged: the kind of the last by ``ord`` counts.
+
+    Order and the mark of a spreading kind are one number, so the grouping is one by hash.
+    """
+    marked = edges.select(F.col("source_qualified").alias("a"), F.col("target_qualified").alias("b"), (F.col("ord") * 2 + F.col("kind").isin(DEPENDENCY_KINDS).cast("long")).alias("_m"))
+    strong = marked.groupBy("a", "b").agg(F.max("_m").alias("_m")).filter("_m % 2 = 1").select("a", "b")
     return strong.unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
 
 

@@ -12,6 +12,7 @@ from loomgraph.functions import columns as C
 from loomgraph.operators import ingest, joins, lookup, patterns, stats, store, traverse, xref
 from loomgraph.operators.schema import DEPENDENCY_KINDS
 from loomgraph.operators.tables import shared_dir
+from loomgraph.plans import built_catalog
 from loomgraph.plans.projection import duckdb_graph, graph
 from loomgraph.sources.registry import parse_files, parsed_nodes
 from loomgraph.streaming.ingest import apply_batch
@@ -79,13 +80,13 @@ _SRC = "SELECT " + ", ".join(f"n.{c}" for c in NODE) + " FROM edges e JOIN nodes
 _TGT = "SELECT " + ", ".join(f"n.{c}" for c in NODE) + " FROM edges e JOIN nodes n ON n.qualified_name = e.target_qualified WHERE e.source_qualified = '{}' AND e.kind IN ({})"
 
 
-def _hot(e: DataFrame, kind: str) -> DataFrame:
+def _hot(e: DataFrame, kind: str) -> str:
     """The most frequent target of a kind, the least key of equals."""
-    return e.filter(F.col("kind") == kind).groupBy("target_qualified").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "target_qualified").limit(1)
+    return e.filter(F.col("kind") == kind).groupBy("target_qualified").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "target_qualified").first()[0]
 
 
 _graph_query(
-    "callers_of", lambda n, e: _n(joins.sources_of(e.filter("kind = 'CALLS'").join(_hot(e, "CALLS"), "target_qualified", "left_semi"), n)),
+    "callers_of", lambda n, e: _n(patterns.callers_of(n, e, _hot(e, "CALLS"))),
     "SELECT " + ", ".join(f"n.{c}" for c in NODE) + " FROM edges e JOIN nodes n ON n.qualified_name = e.source_qualified WHERE e.kind = 'CALLS' AND e.target_qualified = (SELECT target_qualified FROM edges WHERE kind = 'CALLS' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
 )
 _keyed("callees_of", lambda n, e, k: _n(patterns.callees_of(n, e, k)), _ORDER1, _TGT.format(_ORDER1, "'CALLS'"))
@@ -93,7 +94,7 @@ _keyed("imports_of", patterns.imports_of, ORDER_FILE, f"SELECT target_qualified
 _keyed("importers_of", patterns.importers_of, SUPPLIER_FILE, f"SELECT source_qualified AS importer, file_path AS file FROM edges WHERE target_qualified = '{SUPPLIER_FILE}' AND kind IN ('IMPORTS', 'IMPORTS_FROM')")
 _keyed("children_of", lambda n, e, k: _n(patterns.children_of(n, e, k)), REGION, _TGT.format(REGION, "'CONTAINS'"))
 _graph_query(
-    "tests_for", lambda n, e: _n(joins.sources_of(e.filter("kind = 'TESTED_BY'").join(_hot(e, "TESTED_BY"), "target_qualified", "left_semi"), n)),
+    "tests_for", lambda n, e: _n(patterns.tests_for(n, e, _hot(e, "TESTED_BY"), _hot(e, "TESTED_BY").split("::")[-1])),
     "SELECT " + ", ".join(f"n.{c}" for c in NODE) + " FROM edges e JOIN nodes n ON n.qualified_name = e.source_qualified WHERE e.kind = 'TESTED_BY' AND e.target_qualified = (SELECT target_qualified FROM edges WHERE kind = 'TESTED_BY' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
 )
 _keyed("inheritors_of", lambda n, e, k: _n(patterns.inheritors_of(n, e, k)), _BRAND, _SRC.format(_BRAND, "'INHERITS', 'IMPLEMENTS'"))
@@ -117,37 +118,31 @@ _graph_query(
 )
 _graph_query("file_dependents", lambda n, e: joins.file_dependents(e, n, SUPPLIER_FILE), f"SELECT DISTINCT file_path FROM edges WHERE file_path <> '{SUPPLIER_FILE}' AND ((target_qualified = '{SUPPLIER_FILE}' AND kind IN ('IMPORTS', 'IMPORTS_FROM')) OR (kind IN ('CALLS', 'IMPORTS', 'IMPORTS_FROM', 'INHERITS', 'READS_CONFIG', 'RENDERS', 'REFERENCES') AND target_qualified IN (SELECT qualified_name FROM nodes WHERE file_path = '{SUPPLIER_FILE}')))")
 _graph_query(
-    "same_file_refs", lambda n, e: _same_file(n),
+    "same_file_refs", lambda n, e: joins.within_files(n, ["Class", "Resource"]),
     "SELECT c.qualified_name AS source_qualified, s.qualified_name AS target_qualified FROM nodes c JOIN nodes s ON s.file_path = c.file_path AND s.kind = 'File' WHERE c.kind IN ('Class', 'Resource')",
 )
 _graph_query(
-    "find_node", lambda n, e: e.filter("kind = 'INHERITS'").select("target_qualified").distinct().join(n.select(F.col("qualified_name").alias("target_qualified"), "name"), "target_qualified"),
+    "find_node", lambda n, e: joins.found_targets(e.filter("kind = 'INHERITS'"), n).select(F.col("qualified_name").alias("target_qualified"), "name"),
     "SELECT DISTINCT e.target_qualified AS target_qualified, n.name AS name FROM edges e JOIN nodes n ON n.qualified_name = e.target_qualified WHERE e.kind = 'INHERITS'",
 )
 
 
-def _same_file(n: DataFrame) -> DataFrame:
-    files = n.filter("kind = 'File'").select("file_path", F.col("qualified_name").alias("target_qualified"))
-    return n.filter("kind IN ('Class', 'Resource')").join(files, "file_path").select(F.col("qualified_name").alias("source_qualified"), "target_qualified")
-
-
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
 def _resolve_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of the pages against pages by the last component of their address, the last page of equals."""
-    pages = _pages(spark, sf_dir)
-    refs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("ref"))
-    files = pages.select(F.lit("File").alias("kind"), F.col("url").alias("file_path"), F.col("url").alias("qualified_name"), F.col("page_id").alias("ord"))
+    """References by base name, of which several files have each: the last by order is meant; every fourth names no file."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    refs = t.selectExpr("o_orderkey AS page_id", "concat('some/where/', o_orderkey % 40, '.yaml') AS ref")
+    files = t.selectExpr("'File' AS kind", "concat('/p', o_orderkey, '/', o_orderkey % 30, '.yaml') AS file_path", "o_orderkey AS ord").withColumn("qualified_name", F.col("file_path"))
     return joins.resolve_refs(refs, files)
 
 
 _query(
     "resolve_file_refs", _resolve_refs,
-    """WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS ref FROM pages),
-f AS (SELECT list_last(string_split(url, '/')) AS base, arg_max(url, page_id) AS target FROM pages GROUP BY 1)
-SELECT page_id, ref, target FROM r JOIN f ON f.base = list_last(string_split(ref, '/'))""",
+    """WITH f AS (SELECT o_orderkey % 30 AS base, max(o_orderkey) AS k FROM orders GROUP BY 1)
+SELECT o_orderkey AS page_id, 'some/where/' || base || '.yaml' AS ref, '/p' || k || '/' || base || '.yaml' AS target FROM orders JOIN f ON base = o_orderkey % 40""",
 )
 
 # Counts.
@@ -157,7 +152,7 @@ _graph_query("nodes_by_kind", lambda n, e: stats.by_kind(n), "SELECT kind, count
 _graph_query("edges_by_kind", lambda n, e: stats.by_kind(e), "SELECT kind, count(*) AS n FROM edges GROUP BY kind")
 _graph_query("languages", lambda n, e: stats.languages(n), "SELECT DISTINCT language FROM nodes WHERE language <> ''")
 _graph_query("files", lambda n, e: stats.files(n), "SELECT DISTINCT file_path FROM nodes WHERE kind = 'File'")
-_graph_query("files_count", lambda n, e: n.agg(F.count_if(F.col("kind") == "File").alias("files_count")), "SELECT count(*) FILTER (kind = 'File') AS files_count FROM nodes")
+_graph_query("files_count", lambda n, e: stats.files_count(n), "SELECT count(*) FILTER (kind = 'File') AS files_count FROM nodes")
 
 
 def _stats_row(n: DataFrame, e: DataFrame) -> DataFrame:
@@ -170,10 +165,10 @@ _graph_query(
     "SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FROM nodes WHERE kind = 'File') AS files_count, (SELECT string_agg(kind || '=' || c, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS c FROM nodes GROUP BY kind)) AS nodes_by_kind, (SELECT string_agg(kind || '=' || c, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS c FROM edges GROUP BY kind)) AS edges_by_kind, (SELECT string_agg(language, ',' ORDER BY language) FROM (SELECT DISTINCT language FROM nodes WHERE language <> '')) AS languages",
 )
 _graph_query(
-    "build_totals", lambda n, e: n.groupBy("file_path").agg(F.count(F.lit(1)).alias("a")).join(e.groupBy("file_path").agg(F.count(F.lit(1)).alias("b")), "file_path", "left").agg(F.count(F.lit(1)).alias("files"), F.sum("a").alias("nodes"), F.sum(F.coalesce("b", F.lit(0))).alias("edges")),
+    "build_totals", lambda n, e: stats.totals(n, e),
     "SELECT count(*) AS files, sum(a)::BIGINT AS nodes, sum(coalesce(b, 0))::BIGINT AS edges FROM (SELECT file_path, count(*) AS a FROM nodes GROUP BY 1) x LEFT JOIN (SELECT file_path, count(*) AS b FROM edges GROUP BY 1) y USING (file_path)",
 )
-_graph_query("names_by_kind", lambda n, e: n.filter("kind = 'File'").groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("qualified_name")), ",").alias("files")), "SELECT name, string_agg(qualified_name, ',' ORDER BY qualified_name) AS files FROM nodes WHERE kind = 'File' GROUP BY name")
+_graph_query("names_by_kind", lambda n, e: stats.names_of(n, "File").select("name", F.array_join("keys", ",").alias("files")), "SELECT name, string_agg(qualified_name, ',' ORDER BY qualified_name) AS files FROM nodes WHERE kind = 'File' GROUP BY name")
 
 # Traversal.
 _KINDS = ", ".join(f"'{k}'" for k in DEPENDENCY_KINDS)
@@ -208,7 +203,10 @@ _graph_query(
     "upsert_nodes_last_wins", lambda n, e: store.upsert_nodes(n.unionByName(n.filter("kind = 'Class'").withColumn("name", F.concat(F.lit("new "), "name")).withColumn("ord", F.col("ord") + 10**15))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name").startswith("new ")).alias("renamed"), F.max("ord").alias("last")),
     "SELECT kind, count(*) AS n, count(*) FILTER (kind = 'Class') AS renamed, max(ord) AS last FROM nodes GROUP BY kind",
 )
-_graph_query("upsert_edges", lambda n, e: store.upsert_edges(e).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")), "SELECT kind, count(*) AS n, min(ord) AS first FROM (SELECT kind, source_qualified, target_qualified, file_path, line, min(ord) AS ord FROM edges GROUP BY 1, 2, 3, 4, 5) GROUP BY kind")
+_graph_query(
+    "upsert_edges", lambda n, e: store.upsert_edges(e.withColumn("extra", F.lit("first")).unionByName(e.filter("kind = 'CALLS'").withColumn("extra", F.lit("last")).withColumn("ord", F.col("ord") + 10**15))).groupBy("kind", "extra").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")),
+    "SELECT kind, CASE WHEN kind = 'CALLS' THEN 'last' ELSE 'first' END AS extra, count(*) AS n, min(ord) AS first FROM (SELECT kind, source_qualified, target_qualified, file_path, line, min(ord) AS ord FROM edges GROUP BY 1, 2, 3, 4, 5) GROUP BY kind",
+)
 _graph_query("remove_file", lambda n, e: store.remove_files(e, n.filter(F.col("file_path") == ORDER_FILE)).groupBy("file_path").agg(F.count(F.lit(1)).alias("n")), f"SELECT file_path, count(*) AS n FROM edges WHERE file_path <> '{ORDER_FILE}' GROUP BY file_path")
 _graph_query("replace_file", lambda n, e: store.replace_files(n, n.filter(F.col("file_path") == ORDER_FILE), n.filter(F.col("file_path") == ORDER_FILE).limit(0).unionByName(n.filter(F.col("qualified_name") == ORDER_FILE))).groupBy("file_path").agg(F.count(F.lit(1)).alias("n")), f"SELECT file_path, count(*) AS n FROM nodes WHERE file_path <> '{ORDER_FILE}' OR qualified_name = '{ORDER_FILE}' GROUP BY file_path")
 _graph_query("purge_stale", lambda n, e: store.stale_files(n, n.filter("kind = 'File' AND qualified_name <> 'ord/7'"), "ord"), "SELECT DISTINCT file_path FROM nodes WHERE kind = 'File' AND file_path = 'ord/7'")
@@ -232,9 +230,9 @@ _query("sanitize_names", lambda s, d: _pages(s, d).select("page_id", C.sanitize(
 _query("line_counts", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", C.line_count(F.col("text")).alias("lines")), "SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines FROM documents")
 _query("collapse_spaces", lambda s, d: _pages(s, d).select("page_id", C.collapse_spaces(F.col("html")).alias("html")), "SELECT page_id, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS html FROM pages")
 _query(
-    "numbered_snippet", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", C.numbered(F.col("text"), 5).alias("snippet")),
+    "numbered_snippet", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", C.numbered(F.col("text"), 200).alias("snippet")),
     """WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END AS ls FROM documents)
-SELECT doc_id, array_to_string(list_transform(ls[1:5], lambda x, i: i || ': ' || x), chr(10)) || CASE WHEN len(ls) > 5 THEN chr(10) || '... (' || (len(ls) - 5) || ' more lines)' ELSE '' END AS snippet FROM l""",
+SELECT doc_id, array_to_string(list_transform(ls[1:200], lambda x, i: i || ': ' || x), chr(10)) || CASE WHEN len(ls) > 200 THEN chr(10) || '... (' || (len(ls) - 200) || ' more lines)' ELSE '' END AS snippet FROM l""",
 )
 
 
@@ -360,3 +358,7 @@ _query(
 UNION ALL SELECT 'READS_CONFIG', '/repo/n' || c_nationkey || '.yaml', count(*) FROM customer GROUP BY c_nationkey""",
 )
 _query("incremental_demo", _incremental, "SELECT CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS name, count(*) AS n FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1")
+
+# Parsers, builds and the public interface in full.
+QUERIES.update(built_catalog.QUERIES)
+ORACLE_SQL.update(built_catalog.ORACLE_SQL)

@@ -37,6 +37,8 @@ _ARROW = pa.schema(
 )
 #: Room for the rows of one partition in the numbers that keep their order.
 _PARTITION_ROWS = 1 << 40
+#: Nodes and edges of files that are sent on together, about.
+_BATCH_ROWS = 10_000
 
 
 def register_parser(extensions: Iterable[str], parser: Parser, language: str | None = None) -> None:
@@ -81,7 +83,8 @@ def parse_files(files: DataFrame, base: int = 0) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at = base + TaskContext.get().partitionId() * _PARTITION_ROWS
+        at, size = base + TaskContext.get().partitionId() * _PARTITION_ROWS, 0
+        held: list[dict[str, Any]] = []
         for batch in source:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out: dict[str, Any] = {"file_path": path, "file_hash": hashlib.sha256(content).hexdigest(), "nodes": [], "edges": [], "error": None}
@@ -97,12 +100,34 @@ def parse_files(files: DataFrame, base: int = 0) -> DataFrame:
                     out |= {"nodes": rows.nodes, "edges": rows.edges}
                 except Exception as e:  # one bad file is an entry in the result, as a parser may be anyone's
                     out["error"] = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_pylist([out], schema=_ARROW)
+                held.append(out)
+                size += len(out["nodes"]) + len(out["edges"])
+                if len(held) == 256 or size > _BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
     ordered = files.select("file_path", "content").filter("file_path IS NOT NULL AND content IS NOT NULL").repartitionByRange("file_path").sortWithinPartitions("file_path")
     return ordered.mapInArrow(run, PARSED_DDL)
 
 
+def numbered(parsed: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """(``parsed`` with numbers without gaps from ``first`` on, the next free number); ``parsed`` is staged, with ``base`` 0."""
+    rank = F.coalesce(F.get("nodes", F.lit(0)).getField("ord"), F.get("edges", F.lit(0)).getField("ord"))
+    parts = parsed.withColumn("_part", F.floor(rank / _PARTITION_ROWS).cast("int"))
+    sums = parts.filter("_part IS NOT NULL").groupBy("_part").agg(F.sum(F.size("nodes") + F.size("edges")).alias("n")).orderBy("_part").collect()
+    offsets = []
+    for r in sums:  # a row for each task that parsed
+        offsets.append((r["_part"], first - r["_part"] * _PARTITION_ROWS))
+        first += r["n"]
+    if not offsets:
+        return parsed, first
+    joined = parts.join(F.broadcast(parsed.sparkSession.createDataFrame(offsets, "_part int, _offset long")), "_part", "left")
+    moved = [F.transform(c, lambda x: x.withField("ord", x.getField("ord") + F.col("_offset"))).alias(c) if c in ("nodes", "edges") else F.col(c) for c in parsed.columns]
+    return joined.select(moved), first
+
+
 def parsed_nodes(parsed: DataFrame) -> DataFrame:
     """The nodes of parsed files."""
     return parsed.select(F.explode("nodes").alias("n")).select("n.*")

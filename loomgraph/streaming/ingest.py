@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomgraph.operators.ingest import _next, replace_parsed, unstored
+from loomgraph.operators.ingest import replace_parsed, unstored
 from loomgraph.operators.store import GraphStore
 from loomgraph.operators.tables import staged
 from loomgraph.sources.registry import is_supported, parse_files
@@ -22,10 +22,11 @@ def apply_batch(store: GraphStore, files: DataFrame) -> None:
     last = Window.partitionBy("file_path").orderBy(*order, F.sha2("content", 256).desc_nulls_last())
     batch = staged(files.filter("file_path IS NOT NULL").withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("file_path", "content"), "batch")
     known = batch.filter("content IS NOT NULL").filter(is_supported(F.col("file_path")))
-    parsed = staged(parse_files(unstored(known, store.nodes), _next(store)), "parsed")
+    first = store.begin()
+    parsed = staged(parse_files(unstored(known, store)), "parsed")
     removed = batch.filter("content IS NULL").select("file_path")
     if not parsed.isEmpty() or not removed.isEmpty():
-        replace_parsed(store, parsed, removed, "stream")
+        replace_parsed(store, parsed, removed, "stream", first)
 
 
 def follow(store: GraphStore, files: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
