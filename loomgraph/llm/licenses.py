@@ -21,39 +21,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm._rows import arrow_pass
 from loomgraph.llm._text import mix64, words
+from loomgraph.llm.license_texts import TEMPLATES, Template
 
 #: Words of a hashed run, runs of a winnowing window, half width of the band, and least coverage that is reported.
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.6
 
-#: Short notices and headers of public licenses.
-TEMPLATES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
-        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
-    ),
-    "MIT-notice": "Released under the MIT License",
-    "MIT": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without '
-        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
-        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
-        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
-        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
-    ),
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
-        "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
-        "following disclaimer in the documentation and/or other materials provided with the distribution."
-    ),
-}
-
 
 class Index(NamedTuple):
     """Templates' words, and the inverted index: sorted run hashes with template and position."""
@@ -64,6 +36,8 @@ class Index(NamedTuple):
     gram: np.ndarray
     template: np.ndarray
     position: np.ndarray
+    needs: list[np.ndarray]
+    bars: list[np.ndarray]
 
 
 def grams(h: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -87,18 +61,21 @@ def winnow(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.asarray(sorted(picked))
 
 
-def build_index(templates: dict[str, str]) -> Index:
+def build_index(templates: dict[str, str | Template]) -> Index:
     """The inverted index of templates. A template with fewer words than a run is left out."""
-    names, hashed = [], []
-    for name, text in templates.items():
-        h = words([text]).hash
+    names, hashed, needs, bars = [], [], [], []
+    for name, given in templates.items():
+        given = given if isinstance(given, Template) else Template(given)
+        h = words([given.text]).hash
         if len(h) >= GRAM:
             names.append(name)
             hashed.append(h)
+            needs.append(words([" ".join(given.needs)]).hash)
+            bars.append(words([" ".join(given.bars)]).hash)
     rows = [(g[p], i, p) for i, h in enumerate(hashed) for g in [grams(h)] for p in winnow(g)]
     rows.sort(key=lambda r: (int(r[0]), r[1], int(r[2])))
     none = np.zeros(0, dtype=np.uint64)
-    return Index(names, hashed, np.unique(np.concatenate([none, *hashed])), np.asarray([r[0] for r in rows], dtype=np.uint64), np.asarray([r[1] for r in rows], dtype=np.int64), np.asarray([r[2] for r in rows], dtype=np.int64))
+    return Index(names, hashed, np.unique(np.concatenate([none, *hashed])), np.asarray([r[0] for r in rows], dtype=np.uint64), np.asarray([r[1] for r in rows], dtype=np.int64), np.asarray([r[2] for r in rows], dtype=np.int64), needs, bars)
 
 
 @lru_cache(maxsize=1)
@@ -146,7 +123,7 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
 
 
 class Hit(NamedTuple):
-    """A template found in a text: its number, share of its words matched, words and end of the span."""
+    """A template found in a text: its number, share of its words matched, first word and end of the span."""
 
     template: int
     coverage: float
@@ -155,7 +132,11 @@ class Hit(NamedTuple):
 
 
 def find(h: np.ndarray, index: Index, coverage: float = COVERAGE) -> list[Hit]:
-    """The templates in a text of word hashes, by position; of overlapping finds of one template the best."""
+    """The templates in a text of word hashes, by position.
+
+    Of overlapping finds of one template the best counts. A find without the words that its template needs, or with one that it bars, doesn't count. Of
+    templates whose finds overlap by over half of the shorter one, that with most words matched counts, then the higher coverage, then the earlier template.
+    """
     g = grams(h)
     left, right = np.searchsorted(index.gram, g, side="left"), np.searchsorted(index.gram, g, side="right")
     at = np.flatnonzero(right > left)
@@ -174,8 +155,24 @@ def find(h: np.ndarray, index: Index, coverage: float = COVERAGE) -> list[Hit]:
             k = bisect_left(kept, x.start, key=lambda y: y.start)
             if (not k or kept[k - 1].end <= x.start) and (k == len(kept) or x.end <= kept[k].start):
                 kept.insert(k, x)
-        out += kept
-    return sorted(out, key=lambda x: (x.start, x.template))
+        out += [x for x in kept if np.isin(index.needs[template], h[x.start : x.end]).all() and not np.isin(index.bars[template], h[x.start : x.end]).any()]
+    return _best(out, [len(t) for t in index.templates])
+
+
+def _best(found: list[Hit], size: list[int]) -> list[Hit]:
+    """What is left of overlapping finds of several templates, by position."""
+    kept: list[Hit] = []  # by start
+    longest = max((x.end - x.start for x in found), default=0)
+    for x in sorted(found, key=lambda x: (-round(x.coverage * size[x.template]), -x.coverage, x.template, x.start)):
+        k = bisect_left(kept, x.start - longest, key=lambda y: y.start)
+        while k < len(kept) and kept[k].start < x.end:
+            y = kept[k]
+            if 2 * (min(x.end, y.end) - max(x.start, y.start)) > min(x.end - x.start, y.end - y.start):
+                break
+            k += 1
+        else:
+            kept.insert(bisect_left(kept, (x.start, x.template), key=lambda y: (y.start, y.template)), x)
+    return kept
 
 
 def _groups(seeds: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
@@ -223,17 +220,20 @@ def _aligned(template: int, words_of: np.ndarray, h: np.ndarray, group: list[tup
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str | Template] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, coverage, start_word, end_word, matched_text) of each template found in each document.
 
+    Templates are texts, by default those of ``license_texts``, some with words that a find needs or mustn't hold. Finds of one template don't overlap, those next to each other all count; of
+    several templates that claim the same stretch, the one with most words matched does, with ties as in ``find``.
     Words are numbered from 0 in the lower-cased text; ``matched_text`` is the span in lower case. Null and empty texts have no row;
     repeated rows come out alike, once for each. Long texts are scanned whole. Other columns aren't read, so their names can't
     clash. An empty table gives an empty result. No shuffle.
     """
     id_type = dict(docs.dtypes)[id_col]
+    given = build_index(templates) if templates is not None else None
 
     def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        index = build_index(templates) if templates is not None else _default()
+        index = given or _default()
         w = words(batch.column(1).to_pylist())
         bounds = np.searchsorted(w.doc, np.arange(batch.num_rows + 1))
         # Only documents with some run of template words that the index has are looked at one by one.
