@@ -114,8 +114,8 @@ def without_repeats(
         drop = np.cumsum(edge[:-1]) > 0
         return glue.join(u for u, d in zip(parts, drop) if not d), int(drop.sum())
 
-    hit = F.col("_at").isNotNull()
-    done = joined.withColumn("_cut", cut(F.when(hit, F.col("_text")), F.col("_at")))
+    hit = F.col("_at").isNotNull()  # not deterministic, as a later filter on the text would have it cut a second time for that
+    done = joined.withColumn("_cut", cut.asNondeterministic()(F.when(hit, F.col("_text")), F.col("_at")))
     text = F.when(hit, F.col("_cut.text")).otherwise(F.col("_text"))
     if removed is None:
         return unpacked(done, docs.columns, {text_col: text})

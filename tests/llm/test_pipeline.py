@@ -7,7 +7,7 @@ from loomgraph.llm import packing, quality
 from loomgraph.llm._tokens import encoder
 from tests.llm.data import EDGES, prose
 from tests.llm.test_quality import made
-from tests.llm.test_repeats import brute
+from tests.llm.test_repeats import brute, line_runs
 
 
 def test_stages(spark, tmp_path):
@@ -34,8 +34,8 @@ def test_stages(spark, tmp_path):
         kept[name] = at.collect()
     ids = lambda name: {r.doc_id for r in kept[name]}
     assert {1000 + i for i, _ in clean} <= ids("quality_rules") and not {5000, 5001, 5002, 5003} & ids("quality_rules")
-    want = brute([(r.doc_id, r.text) for r in kept["quality_rules"]], lambda t: t.split("\n"), "\n", lambda run: "".join(run).strip(" ") != "", lambda u: u)
-    assert sorted(r.text for r in kept["line_dedup"]) == sorted(want[r.doc_id, r.text][0] for r in kept["quality_rules"])
+    want = brute([(r.doc_id, r.text) for r in kept["quality_rules"]], lambda t: t.split("\n"), "\n", line_runs, lambda u: u)
+    assert sorted(r.text for r in kept["line_dedup"]) == sorted(x for x in (want[r.doc_id, r.text][0] for r in kept["quality_rules"]) if x), "emptied ones are gone"
     assert all(r.n_chars == len(r.text) for r in kept["line_dedup"])
     assert not {4000 + i for i in range(16)} & ids("decontaminate") and ids("decontaminate") >= {1000 + i for i, _ in clean if i >= 20}
     enc, tokens = encoder(), {}
@@ -60,3 +60,20 @@ def test_decisions_on_the_tables(spark):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     right = sum((i in kept) == bool(q) for i, q in truth.items())
     assert right >= 0.9 * len(truth) and quality.TRAIN_DOCS == 3000
+
+
+def test_stages_take_empty_tables_and_any_columns(spark, tmp_path):
+    names = "doc_id long, text string, _id int, _k string, _row int, _text int, _at string, `a.b` int, n long, shard int"
+    rows = [(1, "one text of some words\nand lines", 1, "x", 1, 1, "x", 1, 1, 1), (None, None, None, None, None, None, None, None, None, None), (2, "", 2, "x", 2, 2, "x", 2, 2, 2)]
+    spark.createDataFrame([(1, "an item of the benchmark, of some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, names)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "pack":
+                assert [r.doc_id for r in out.collect()] == [1][: len(given)]
+            else:
+                assert out.columns == docs.columns and {r.doc_id for r in out.collect()} >= {1} & {r[0] for r in given}
+    text = spark.createDataFrame(rows, names)
+    assert sorted(r.text or "" for r in corpus_pipeline.line_dedup(spark, text, str(tmp_path)).collect()) == ["", "", rows[0][1]], "what was empty before stays"
