@@ -1,6 +1,6 @@
 """Line deduplication by overlapping windows of three lines.
 
-Each run of three consecutive lines is hashed (128 bits). A window that occurs anywhere before, in the order of document and
+Each run of three consecutive lines is hashed (96 bits). A window that occurs anywhere before, in the order of document and
 position, is a repeat; the lines that repeats cover are merged and left out.
 """
 

@@ -3,7 +3,7 @@
 A sentence ends after . ! ? ; : or , with the white space that follows, after such a mark of Chinese, Japanese, Arabic or Hindi, or at a
 line end; long sentences of running text are thus compared clause by clause, which lets spans fit into a passage that was copied from the
 middle of one. From every sentence on, the shortest run of at least ``SENTENCES`` sentences and ``MIN_CHARS`` characters is a span. Spans are
-hashed (128 bits, lower case, outer white space ignored) and joined globally; sentences covered by any occurrence but the first go.
+hashed (96 bits, lower case, outer white space ignored) and joined globally; sentences covered by any occurrence but the first go.
 """
 
 from __future__ import annotations

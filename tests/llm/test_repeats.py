@@ -3,8 +3,10 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
-from loomgraph.llm import linededup, queries, spandedup
+from loomgraph.llm import _repeats, linededup, queries, spandedup
 from tests.llm.data import EDGES, frame, prose, rows_of
 from tests.test_queries import SF, TABLES, same
 
@@ -52,6 +54,27 @@ def corpus(seed, sentence_end):
     return rows + [(100 + k, t) for k, t in enumerate(EDGES)] + [(200, sentence_end.join(["same"] * 9)), (5, rows[6][1]), (201, sentence_end.join(f"long sentence number {k} of a very long text" for k in range(3000)))]
 
 
+@pytest.mark.parametrize("most", [0, 3, 10**6])
+def test_runs_of_one_task_are_sifted(most):
+    """Whatever a task remembers of hashes it has met, the runs that aren't the first of their hash come out, copies of the first excepted."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 9 == 0 else int(i), int(1000 + i // 2), int(p), int(rng.integers(0, 25))) for i in rng.permutation(120) for p in range(4)]
+    seen, out = _repeats.Seen(most), []
+    for at in range(0, len(rows), 40):  # batches of ten documents
+        part = rows[at : at + 40]
+        ids, k = pa.array([r[0] for r in part[::4]], pa.int64()), pa.array([r[1] for r in part[::4]], pa.int64())
+        h = np.asarray([r[3] for r in part], dtype=np.int64)
+        out += seen.sifted(ids, k, np.repeat(np.arange(10), 4), np.tile(np.arange(4), 10), np.ones(40, dtype=np.int64), h * 7, (h % 5).astype(np.int32))
+    table = pa.Table.from_batches(out)
+    order = sorted(range(table.num_rows), key=lambda i: tuple((x is not None, x or 0) for x in (table[c][i].as_py() for c in ("_h1", "_h2", "_id", "_k", "_pos"))))
+    batches = table.take(order).combine_chunks().to_batches(max_chunksize=17)
+    got = {(r["_id"], r["_k"], r["_pos"]) for b in _repeats.not_first(iter(batches)) for r in b.to_pylist()}
+    first = {}
+    for i, k, p, h in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        first.setdefault(h, (i, k, p))
+    assert got == {(i, k, p) for i, k, p, h in rows if (i, k, p) != first[h]}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines(spark, seed):
     rows = corpus(seed, "\n")
