@@ -24,6 +24,8 @@ def main(args: list[str] | None = None) -> int:
         p = sub.add_parser(name, help=text)
         p.add_argument("--repo", default=None)
         p.add_argument("--db", default=None)
+        if name == "build":
+            p.add_argument("--link", action="store_true", help="resolve names of Python files, and links to YAML and template files")
         if name == "update":
             p.add_argument("--base", default="HEAD~1")
     got, config = parser.parse_args(args), Config()
@@ -49,7 +51,7 @@ def main(args: list[str] | None = None) -> int:
     if got.command == "status":
         print(api.stats.graph_stats(store.nodes, store.edges).first().asDict())
         return 0
-    made = full_build(store, root) if got.command == "build" else incremental_update(store, root, got.base)
+    made = full_build(store, root, got.link) if got.command == "build" else incremental_update(store, root, got.base)
     print({k: v for k, v in made.items() if k != "errors"})
     for e in made["errors"][:5]:
         print(f"  {e['file']}: {e['error']}")

@@ -73,19 +73,19 @@ def open_store(spark: SparkSession, repo_root: Text = None, group: Text = None,
     return GraphStore(spark, config.db_of(root)), root, [r for r in config.group_repos(mine) if os.path.isdir(r)] if mine else [root]
 
 
-def _build_many(store: GraphStore, repos: list[str]) -> dict[str, Any]:
-    made = ingest.build_roots(store, repos)
+def _build_many(store: GraphStore, repos: list[str], link: bool) -> dict[str, Any]:
+    made = ingest.build_roots(store, repos, link)
     summary = f"{len(repos)} repositories: {made['files_parsed']} files, {made['total_nodes']} nodes, {made['total_edges']} edges, {made['cross_ref_edges']} of them across files"
     return told(summary, build_type="full_group", repos_built=len(repos), **made)
 
 
-def build_or_update_graph(spark: SparkSession, full_rebuild: bool = False, repo_root: Text = None, base: str = "HEAD~1", group: Text = None, config: Settings = None) -> dict[str, Any]:
-    """Build the whole graph of a repository or group, or bring it up to date with what changed since ``base``. A group is always built whole."""
+def build_or_update_graph(spark: SparkSession, full_rebuild: bool = False, repo_root: Text = None, base: str = "HEAD~1", group: Text = None, config: Settings = None, link: bool = False) -> dict[str, Any]:
+    """Build the whole graph of a repository or group, or bring it up to date with what changed since ``base``. A group is always built whole; see ``ingest.build_roots`` for ``link``."""
     store, root, repos = open_store(spark, repo_root, group, config)
     if group or (full_rebuild and len(repos) > 1):
-        return _build_many(store, repos)
+        return _build_many(store, repos, link)
     if full_rebuild:
-        made = ingest.full_build(store, root)
+        made = ingest.full_build(store, root, link)
         return told(f"{made['files_parsed']} files, {made['total_nodes']} nodes, {made['total_edges']} edges, {made['cross_ref_edges']} of them across files", build_type="full", **made)
     made = ingest.incremental_update(store, root, base)
     summary = f"{made['files_updated']} files brought up to date: {made['total_nodes']} nodes, {made['total_edges']} edges" if made["files_updated"] else "Nothing has changed."

@@ -34,35 +34,41 @@ def _stamp(kind: str) -> dict[str, str]:
     return {"last_updated": time.strftime("%Y-%m-%dT%H:%M:%S"), "last_build_type": kind}
 
 
-def build_roots(store: GraphStore, roots: list[str]) -> dict[str, Any]:
+def build_roots(store: GraphStore, roots: list[str], link: bool = False) -> dict[str, Any]:
     """Build all files under some roots into a store, and find edges across files once.
 
     Files under the roots that aren't there any more leave the store. A file that fails keeps the rows of its last build.
+    With ``link``, calls and bases of Python files lead to the symbols of their file that they name, and calls with names of YAML and template files to these.
     """
     roots = [r.rstrip("/") for r in roots]
     if not roots:
         return {"files_parsed": 0, "total_nodes": 0, "total_edges": 0, "cross_ref_edges": 0, "errors": []}
-    return build_files(store, reduce(DataFrame.unionByName, [sources.source_files(store.spark, r) for r in roots]), roots)
+    return build_files(store, reduce(DataFrame.unionByName, [sources.source_files(store.spark, r) for r in roots]), roots, link)
 
 
-def build_files(store: GraphStore, files: DataFrame, roots: list[str]) -> dict[str, Any]:
+def build_files(store: GraphStore, files: DataFrame, roots: list[str], link: bool = False) -> dict[str, Any]:
     """``build_roots`` with the table of files (file_path, content) given, the whole of what is under the roots."""
     first = store.begin()
-    parsed, following = numbered(staged(parse_files(files.dropDuplicates(["file_path"])), "parsed"), first)
+    parsed, following = numbered(staged(parse_files(files.dropDuplicates(["file_path"]), arguments=link), "parsed"), first)
     current = parsed.select("file_path")
     gone = reduce(DataFrame.unionByName, [stores.stale_files(store.nodes, current, r) for r in roots])
     replaced = parsed.filter("error IS NULL").select("file_path").unionByName(gone).distinct()
     nodes = staged(stores.replace_files(store.nodes, replaced, stores.upsert_nodes(parsed_nodes(parsed))), "nodes")
     edges = staged(stores.replace_files(store.edges, replaced, stores.upsert_edges(parsed_edges(parsed, current))), "edges")
-    across = staged(xref.detect(nodes, edges), "across")
+    if link:
+        edges, found = xref.linked(nodes, edges)
+        edges = staged(stores.upsert_edges(edges), "edges")
+    else:
+        found = xref.detect(nodes, edges)
+    across = staged(found, "across")
     n_across, (_, n_nodes, n_edges) = across.count(), _totals(parsed)
     store.commit(nodes, stores.upsert_edges(edges.unionByName(across)) if n_across else edges, _stamp("full"), following, unique=True)
     return {"files_parsed": parsed.count(), "total_nodes": n_nodes, "total_edges": n_edges + n_across, "cross_ref_edges": n_across, "errors": _errors(parsed, roots[0] if len(roots) == 1 else "")}
 
 
-def full_build(store: GraphStore, root: str) -> dict[str, Any]:
+def full_build(store: GraphStore, root: str, link: bool = False) -> dict[str, Any]:
     """``build_roots`` of one repository."""
-    return build_roots(store, [root])
+    return build_roots(store, [root], link)
 
 
 def replace_parsed(store: GraphStore, parsed: DataFrame, removed: DataFrame, kind: str, first: int) -> tuple[int, int]:

@@ -84,6 +84,12 @@ def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+def linked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Opt-in: (edges with their targets resolved as far as ``resolve_symbols`` goes, the edges of all detectors, to which a call goes by its last name: ``yaml.load`` is ``load``)."""
+    short = F.when(F.col("kind") == "CALLS", F.regexp_replace("target_qualified", r"^.*\.", "")).otherwise(F.col("target_qualified"))
+    return resolve_symbols(nodes, edges), detect(nodes, edges.withColumn("target_qualified", short))
+
+
 def resolve_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Opt-in: edges whose target text names a symbol of the same file, or a labelled manifest, get that node's key; others stay."""
     named = nodes.filter("kind IN ('Class', 'Function', 'Method')").groupBy("file_path", F.col("name").alias("_t")).agg(F.max_by("qualified_name", "ord").alias("_key"))

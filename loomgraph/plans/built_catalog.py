@@ -142,6 +142,21 @@ def _resolved_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.filter("kind = 'CALLS' AND target_qualified LIKE '/c/%'").select("source_qualified", "target_qualified").distinct()
 
 
+@_query("linked_build", """SELECT 'READS_CONFIG' AS kind, '/l/' || s_suppkey || '.py::read' AS source_qualified, '/l/c' || s_suppkey || '.yaml' AS target_qualified FROM supplier
+UNION ALL SELECT 'RENDERS', '/l/' || s_suppkey || '.py::show', '/l/t' || s_suppkey || '.j2' FROM supplier UNION ALL SELECT 'CALLS', '/l/' || s_suppkey || '.py::show', '/l/' || s_suppkey || '.py::read' FROM supplier""")
+def _linked_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opt-in of a build: calls of a file's own functions, and calls that name YAML and template files, lead there."""
+    text = 'import yaml\n\ndef read():\n    return yaml.safe_load(open("conf/c{k}.yaml"))\n\ndef show(env):\n    return env.get_template("t{k}.j2").render(read())\n'
+    files = None
+    for name, content in (("{k}.py", text), ("c{k}.yaml", "a: 1\n"), ("t{k}.j2", "{{ a }}")):
+        key = F.col("s_suppkey").cast("string")
+        made = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("/l/"), F.replace(F.lit(name), F.lit("{k}"), key)).alias("file_path"), F.encode(F.replace(F.lit(content), F.lit("{k}"), key), "UTF-8").alias("content"))
+        files = made if files is None else files.unionByName(made)
+    store = GraphStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    ingest.build_files(store, files, ["/l"], link=True)
+    return store.edges.filter("kind IN ('READS_CONFIG', 'RENDERS') OR kind = 'CALLS' AND target_qualified LIKE '/l/%'").select("kind", "source_qualified", "target_qualified")
+
+
 @_query("tests_named", "SELECT 'test_' || s_suppkey AS name, 'named' AS how FROM supplier WHERE s_suppkey = 7 UNION ALL SELECT 'check_7', 'linked'")
 def _tests_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests that an edge leads to, and test functions named after a function."""

@@ -55,8 +55,8 @@ class _Source:
         return self._brackets
 
 
-def parse_python(path: str, content: bytes) -> FileRows:
-    """The rows of a Python file."""
+def parse_python(path: str, content: bytes, arguments: bool = False) -> FileRows:
+    """The rows of a Python file; with ``arguments``, a call whose first argument is a string has it in ``extra`` as ``raw_target``."""
     rows = FileRows(path, "python")
     text = content.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     test = rows.base.startswith("test_") or rows.base.endswith("_test.py")
@@ -66,13 +66,13 @@ def parse_python(path: str, content: bytes) -> FileRows:
         tree, broken = None, {"parse_error": str(e) or type(e).__name__}
     key = rows.node("File", rows.base, 1, text.count("\n") + 1, test=test, extra=broken)
     if tree is not None:
-        _Walk(rows, _Source(text), key, test).body(tree.body, key, "", "file")
+        _Walk(rows, _Source(text), key, test, arguments).body(tree.body, key, "", "file")
     return rows
 
 
 class _Walk:
-    def __init__(self, rows: FileRows, source: _Source, file: str, test: bool) -> None:
-        self.rows, self.source, self.file, self.test = rows, source, file, test
+    def __init__(self, rows: FileRows, source: _Source, file: str, test: bool, arguments: bool) -> None:
+        self.rows, self.source, self.file, self.test, self.arguments = rows, source, file, test, arguments
 
     def body(self, statements: list[ast.stmt], owner: str, parent: str, within: str) -> None:
         for s in statements:
@@ -127,7 +127,8 @@ class _Walk:
             c = self.source.data.index(b")", c) + 1
         name = self.source.cut(a, c)
         if name:
-            self.rows.edge("CALLS", owner, name, node.lineno)
+            first = node.args[0].value if self.arguments and node.args and isinstance(node.args[0], ast.Constant) else None
+            self.rows.edge("CALLS", owner, name, node.lineno, {"raw_target": first} if isinstance(first, str) else None)
 
 
 def _calls(body: list[ast.stmt]) -> Iterator[ast.Call]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from typing import Any
 
 import pyarrow as pa
@@ -72,13 +73,13 @@ def parse_file(path: str, content: bytes) -> tuple[list[dict[str, Any]], list[di
     return rows.nodes, rows.edges
 
 
-def parse_files(files: DataFrame, base: int = 0) -> DataFrame:
+def parse_files(files: DataFrame, base: int = 0, arguments: bool = False) -> DataFrame:
     """A row (``PARSED_DDL``) for each of ``files`` (file_path, content).
 
     ``ord`` of nodes and edges follows the path and the order within a file, from ``base`` on. A file of which the parser fails has
-    its error and no rows. Files without a parser have neither.
+    its error and no rows. Files without a parser have neither. With ``arguments``, calls of Python files keep their first string argument.
     """
-    parsers = dict(PARSERS)
+    parsers = {k: partial(p, arguments=True) if arguments and p is parse_python else p for k, p in PARSERS.items()}
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
