@@ -101,3 +101,12 @@ def test_training_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in train], "doc_id long, quality int, toxic int")
     small = quality.fit(docs, labels, train_docs=20)
     assert small.w.shape == (len(quality.FEATURES),) and not np.array_equal(small.w, quality.fit(docs, labels).w)
+
+
+def test_very_long_texts_are_decoded_whole(spark):
+    rng = random.Random(9)
+    long = "\n".join(prose(rng, 12) for _ in range(16_000))
+    assert len(long) > 1_000_000
+    field = quality.train([t for _, t, _ in made(2, 80)], [not q for _, _, q in made(2, 80)])
+    got = {r.doc_id: r for r in quality.assess(frame(spark, [(1, long), (2, "x " * 700_000), (3, None)]), field).collect()}
+    assert got[1].lines == 16_000 and got[1].kept and got[2].lines == 1 and not got[3].kept
