@@ -10,10 +10,13 @@ table holds the Hamming distance of every block to each of its references. In a
 difference over its coordinates; the sum over the blocks is a lower bound of the distance. A pair whose bound is above the radius is
 discarded, which takes nearly all unrelated pairs; survivors are verified on the full fingerprints.
 
-Comparing all pairs through the table would still grow with the square of the corpus, so pairs first have to agree in one of several keys
-of sampled bits. Documents with one fingerprint are one item of the search, whatever their number. What a bucket of equal keys
-gives is counted and joined up at once, not emitted pair by pair; buckets of over ``CHUNK`` items are compared chunk against chunk, by
-as many tasks as it takes.
+Comparing all pairs through the table would still grow with the square of the corpus, so fingerprints are cut into blocks of about as many
+bits as the corpus has doublings. A pair within ``RADIUS`` differs in few bits in at least one of them (``blocks_plan``), so looking up every value that is so few
+flips away finds all pairs, whatever the data. Documents with one fingerprint are one item of the search, whatever their number. Each pair is found
+in one place and counted and joined up there at once, not emitted. The work still grows faster than the corpus: a fixed share of all pairs, less with wider blocks, agrees in
+some block and is compared there.
+
+``key_plan`` to ``compared`` are the search by sampled keys of earlier rounds, which misses some pairs; only their tests call them.
 """
 
 from __future__ import annotations
@@ -34,14 +37,18 @@ BITS = 256
 RADIUS = 48
 #: Blocks of a fingerprint, and reference fingerprints for each.
 BLOCKS, PIVOTS = 16, 4
-#: Probability with which a pair that differs in ``CLOSE`` bits must meet in some table.
+#: Of sampled keys: probability with which a pair that differs in ``CLOSE`` bits must meet in some table.
 RECALL, CLOSE = 0.97, 36
 #: The same for a pair that differs in ``RADIUS`` bits, the most that counts.
 FAR_RECALL = 0.9
 #: Fingerprints that may share a bucket by chance, on average; the keys' width follows from it and the corpus.
 BUCKET = 48
-#: Items of a bucket that one task compares with one another.
-CHUNK = 1 << 14
+#: Fingerprints of a group; a task compares two groups.
+CHUNK = 1 << 19
+#: Tasks that a small corpus is searched in at least (one block each at most), and partitions that a large one has at most.
+TASKS, PARTITIONS = 64, 4096
+#: Pairs that are worked on at once.
+LOT = 1 << 17
 _LANES = BITS // 64
 _SEED = 20240229
 _EACH = np.uint64(0x0101010101010101)
@@ -121,15 +128,6 @@ def key_plan(items: int) -> tuple[int, np.ndarray]:
     return width, np.stack([rng.choice(BITS, size=width, replace=False) for _ in range(tables)])
 
 
-def keys(fp: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """(n, tables) keys: the sampled bits with the number of the table above them."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1)
-    out = np.zeros((len(fp), len(positions)), dtype=np.int64)
-    for t, at in enumerate(positions):
-        out[:, t] = bits[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64)) | t << 44
-    return out
-
-
 def pairs_at(lag: int, active: np.ndarray, key: np.ndarray, table: np.ndarray, fp: np.ndarray, radius: int, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows that still have a row of their key ``lag`` further on, those of them that are within ``radius`` of it); see ``compared`` for ``right``."""
     active = active[active + lag < len(key)]
@@ -184,11 +182,7 @@ class Linked:
         for s in range(0, len(some), 10_000):
             at = some[s : s + 10_000]
             cols = [pa.array([x.tobytes() for x in fp[k]], pa.binary()) for k in (self.root[at], at)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(self.links[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32())], _LINK)
-
-
-_LINK = ["a", "b", "links", "_key", "_chunk"]
-_LINK_DDL = "a binary, b binary, links long, _key long, _chunk int"
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(self.links[at])], ["a", "b", "links"])
 
 
 def compared(key: np.ndarray, fp: np.ndarray, masks: np.ndarray, radius: int, right: np.ndarray | None = None) -> Linked:
@@ -220,99 +214,163 @@ def _prints(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, _LANES)
 
 
-def near_fingerprints(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b, links): how the distinct fingerprints in column ``_fp`` that differ in at most ``radius`` bits hang together.
+def blocks_plan(items: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
+    """(first bit, end, most) of the blocks of a fingerprint: of a pair within ``radius``, at least one block differs in at most ``most`` bits.
 
-    ``links`` summed over the rows of a fingerprint b is the number of others that it meets and is near to; a pair that meets in several tables
-    counts once. Rows with a < b or b < a join the two up: the components of these rows are those of all near pairs.
+    Otherwise it would differ in at least the sum of ``most + 1``, which is ``radius + 1``. A block has about as many bits as
+    there are doublings in ``items``, so that a value of it has few of them.
     """
-    _, positions = key_plan(distinct.count())
-    masks = key_masks(positions)
+    n = BITS // int(np.clip(np.ceil(np.log2(max(items, 2))), 8, 24))
+    ends = [BITS * k // n for k in range(n + 1)]
+    most, wider = divmod(radius + 1, n)
+    plan = [(s, e, most if k < wider else most - 1) for k, (s, e) in enumerate(zip(ends, ends[1:]))]
+    return [(s, e, m) for s, e, m in plan if m >= 0]
+
+
+def block_masks(plan: list[tuple[int, int, int]]) -> np.ndarray:
+    """(blocks, lanes) the bits of each block as masks of a fingerprint."""
+    bits = np.zeros((len(plan), BITS), dtype=np.uint8)
+    for k, (s, e, _) in enumerate(plan):
+        bits[k, s:e] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
 
-    def spread(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for at in range(0, batch.num_rows, 2000):
-                column = batch.column(0).slice(at, 2000)
-                fp = _prints(column)
-                k = keys(fp, positions)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), column.take(pa.array(np.repeat(np.arange(len(fp)), k.shape[1])))], ["_key", "_fp"])
 
-    def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, pa.Array]] = []  # rows of which the last key may go on
-        rows, hot = 0, None
+def block_values(fp: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Bits ``start`` to ``end`` of each fingerprint as a number."""
+    out = np.zeros(len(fp), dtype=np.int32)
+    for byte in np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1)[:, start // 8 : -(-end // 8)].T:
+        out = out << 8 | byte
+    return out >> -end % 8 & (1 << end - start) - 1
 
-        def take() -> tuple[np.ndarray, np.ndarray]:
-            return np.concatenate([k for k, _ in held]), np.concatenate([_prints(f) for _, f in held])
 
-        def passed(key: int, fp: np.ndarray, n: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in fp], pa.binary()), pa.nulls(len(fp), pa.binary()), pa.nulls(len(fp), pa.int64()), pa.array(np.full(len(fp), key)), pa.array(np.full(len(fp), n), pa.int32())], _LINK)
+def candidates(value: np.ndarray, bounds: np.ndarray, flip: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), in lots of about ``LOT``, of sorted values and places of the values that differ from them in the bits of ``flip``.
 
-        for batch in source:
-            key = np.asarray(batch.column(0))
-            while len(key):
-                if hot is not None:  # the bucket is being passed on, a chunk at a time
-                    n = int(np.searchsorted(key, hot[0], side="right"))
-                    if n:
-                        number = (hot[1] + np.arange(n)) // chunk
-                        for c in np.unique(number):
-                            some = np.flatnonzero(number == c)
-                            yield passed(hot[0], _prints(batch.column(1).slice(int(some[0]), len(some))), int(c))
-                        hot = (hot[0], hot[1] + n)
-                        key, batch = key[n:], batch.slice(n)
-                    if len(key):
-                        hot = None
-                    continue
-                whole = int(np.searchsorted(key, key[-1]))
-                if whole or (held and held[-1][0][-1] != key[0]):
-                    if whole:
-                        held.append((key[:whole], batch.column(1).slice(0, whole)))
-                    yield from matched(*take())
-                    held, rows = [], 0
-                held.append((key[whole:], batch.column(1).slice(whole)))
-                rows += len(key) - whole
-                if rows > chunk:
-                    _, fp = take()
-                    for c in range(0, rows, chunk):
-                        yield passed(int(key[-1]), fp[c : c + chunk], c // chunk)
-                    hot, held, rows = (int(key[-1]), rows), [], 0
-                key = key[:0]
-        if held:
-            yield from matched(*take())
-
-    def matched(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(key) > 1:
-            yield from compared(key, fp, masks, radius).rows(fp)
-
-    def across(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``bounds`` has where each value begins. If the places are those of ``value`` itself (``own``), each pair comes once.
+    """
+    rows = np.arange(len(value))
+    if own and flip:
+        rows = np.flatnonzero((value & 1 << flip.bit_length() - 1) == 0)  # the other one of the pair has this bit
+    to = value[rows] ^ flip
+    first, end = bounds[to], bounds[to + 1]
+    if own and not flip:
+        first = rows + 1
+    size = end - first
+    some = np.flatnonzero(size)
+    rows, first, size = rows[some], first[some], size[some]
+    total = np.cumsum(size)
+    cuts = np.searchsorted(total, np.arange(LOT, total[-1] + LOT, LOT)) + 1 if len(total) else []
+    for s, e in zip([0, *cuts], cuts):
+        n = size[s:e]
+        if len(n):
+            yield np.repeat(rows[s:e], n), np.arange(n.sum()) + np.repeat(first[s:e] - np.cumsum(n) + n, n)
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray | None, plan: list[tuple[int, int, int]], block: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b) of all pairs within ``radius`` of which ``block`` is the first block of the plan that differs little enough; without b, pairs in a.
+
+    Rows are sorted by the value of the block, and each flip of at most ``most`` bits leads from a value to another one. A pair is compared on the half of its bits that the
+    block isn't in; what is left goes through the pivot table and then whole.
+    """
+    start, end, most = plan[block]
+    own, masks = b is None, block_masks(plan)
+    half, apart = 2 if end <= BITS // 2 else 0, end <= BITS // 2 or start >= BITS // 2
+
+    def by_value(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        value = block_values(fp, start, end)
+        order = np.argsort(value, kind="stable")
+        return order, value[order], fp[order]
+
+    order_a, value, fa = by_value(a)
+    order_b, there, fb = (order_a, value, fa) if own else by_value(b)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(there, minlength=1 << end - start))])
+    table, shift = (pivot_table(fa), 0) if own else (pivot_table(np.concatenate([fa, fb])), len(fa))
+    lanes = [(np.ascontiguousarray(fa[:, k]), np.ascontiguousarray(fb[:, k])) for k in (half, half + 1)]
+
+    def checked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = possible(table, i, j + shift, radius)
+        i, j = i[keep], j[keep]
+        differ = fa[i] ^ fb[j]
+        keep = popcount(differ) <= radius
+        for k in range(block):
+            keep &= popcount(differ & masks[k]) > plan[k][2]
+        return order_a[i[keep]], order_b[j[keep]]
+
+    flips = np.arange(1 << end - start)
+    held, rows = [], 0
+    for flip in flips[np.bitwise_count(flips) <= most].tolist():
+        least = radius - (flip.bit_count() if apart else 0)
+        for i, j in candidates(value, bounds, flip, own):
+            (a0, b0), (a1, b1) = lanes
+            keep = np.bitwise_count(a0[i] ^ b0[j]) + np.bitwise_count(a1[i] ^ b1[j]) <= least
+            held.append((i[keep], j[keep]))
+            rows += len(held[-1][0])
+            if rows > LOT:
+                yield checked(*map(np.concatenate, zip(*held)))
+                held, rows = [], 0
+    if rows:
+        yield checked(*map(np.concatenate, zip(*held)))
+
+
+def near_fingerprints(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """(a, b, links): how the distinct fingerprints in column ``_fp`` that differ in at most ``radius`` bits hang together.
+
+    ``links`` summed over the rows of a fingerprint b is the number of others that it is near to, all of them. Rows with a < b or b < a join
+    the two up: the components of these rows are those of all near pairs. Fingerprints are dealt to groups of about ``chunk``, and each two groups meet in a task, or
+    in one for each of several lots of blocks where groups are few.
+    """
+    items = distinct.count()
+    plan = blocks_plan(min(items, chunk), radius)
+    groups = max(1, -(-items // chunk))
+    meetings = groups * (groups + 1) // 2
+    lots = int(np.clip(-(-TASKS // meetings), 1, len(plan)))
+
+    def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            key, one, two = at
-            fp, chunks = np.concatenate([f for f, _ in held]), np.concatenate([c for _, c in held])
-            yield from compared(np.full(len(fp), key), fp, masks, radius, chunks == two if one != two else None).rows(fp)
+            one, two, lot = at
+            fp, second = np.concatenate([f for f, _ in held]), np.concatenate([s for _, s in held])
+            order = np.argsort(second, kind="stable")
+            fp, n = fp[order], len(fp) - int(second.sum())
+            linked, pairs, rows = Linked(len(fp)), [], 0
+
+            def join() -> None:
+                i, j = map(np.concatenate, zip(*pairs))
+                linked.add(i, j, np.ones(len(i), dtype=bool))
+
+            for block in range(lot, len(plan), lots):
+                for i, j in near_pairs(fp[:n], fp[n:] if one != two else None, plan, block, radius):
+                    pairs.append((i, j if one == two else j + n))
+                    rows += len(i)
+                    if rows > LOT:
+                        join()
+                        pairs, rows = [], 0
+            if rows:
+                join()
+            yield from linked.rows(fp)
 
         for batch in source:
-            of = list(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))))
-            cuts = [0, *(k for k in range(1, len(of)) if of[k] != of[k - 1]), len(of)]
+            place = np.stack([np.asarray(batch.column(c)) for c in (1, 2, 3)], axis=1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(place)]
             for s, e in zip(cuts, cuts[1:]):
                 if e > s:
-                    if at is not None and of[s] != at:
+                    of = tuple(place[s].tolist())
+                    if at is not None and of != at:
                         yield from done()
                         held = []
-                    at = of[s]
-                    held.append((_prints(batch.column(0).slice(s, e - s)), np.asarray(batch.column(4))[s:e]))
+                    at = of
+                    held.append((_prints(batch.column(0).slice(s, e - s)), (np.asarray(batch.column(4))[s:e] == of[1]) & (of[0] != of[1])))
         if at is not None:
             yield from done()
 
-    met = distinct.select("_fp").mapInArrow(spread, "_key long, _fp binary").repartition("_key").sortWithinPartitions("_key")
-    first = staged(met.mapInArrow(compare, _LINK_DDL), "met")
-    hot = first.filter("_key IS NOT NULL").select("a", "_key", "_chunk")
-    last = hot.groupBy("_key").agg(F.max("_chunk").alias("_last"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_last")))
-    twice = hot.join(last, "_key").select("a", "_key", "_chunk", other.alias("_other")).select("a", "_key", F.least("_chunk", "_other").alias("_one"), F.greatest("_chunk", "_other").alias("_two"), "_chunk")
-    place = ["_key", "_one", "_two"]
-    more = twice.repartition(*place).sortWithinPartitions(*place).mapInArrow(across, _LINK_DDL)
-    return first.filter("_key IS NULL").unionByName(more).select("a", "b", "links")
+    grouped = distinct.select("_fp", F.pmod(F.xxhash64("_fp"), F.lit(groups)).cast("int").alias("_group"))
+    met = grouped.select("_fp", "_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_other"))
+    place = ["_one", "_two", "_lot"]
+    tasks = met.select("_fp", F.least("_group", "_other").alias("_one"), F.greatest("_group", "_other").alias("_two"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("_lot"), "_group")
+    number = (F.col("_two") * (F.col("_two") + 1) / 2 + F.col("_one")) * lots + F.col("_lot")  # without gaps, so that no two tasks share one while there are enough
+    many = min(meetings * lots, PARTITIONS)
+    return tasks.repartitionById(many, F.pmod(number.cast("long"), F.lit(many)).cast("int")).sortWithinPartitions(*place).mapInArrow(compare, "a binary, b binary, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -80,6 +80,42 @@ def test_near_duplicates(spark, seed):
     assert not clean & set(got), "others are left alone"
 
 
+def flipped(rng, fp, bits):
+    """Copies of fingerprints with so many random bits flipped."""
+    out = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1)
+    for row, n in zip(out, bits):
+        row[rng.choice(simhash.BITS, n, replace=False)] ^= 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+@pytest.mark.parametrize("chunk", [150, simhash.CHUNK])
+def test_no_pair_at_the_radius_is_lost(spark, chunk):
+    """400 pairs at 40 to 48 bits and 50 just beyond: all of the former are linked, none of the latter."""
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 1 << 64, (450, 4), dtype=np.uint64)
+    bits = np.concatenate([rng.integers(40, simhash.RADIUS + 1, 200), np.full(200, simhash.RADIUS), np.full(50, simhash.RADIUS + 1)])
+    b = flipped(rng, a, bits)
+    rows = simhash.near_fingerprints(spark.createDataFrame([(x.tobytes(),) for x in np.concatenate([a, b])], "_fp binary"), chunk=chunk)
+    got = {r["b"]: r["n"] for r in rows.groupBy("b").agg({"links": "sum"}).withColumnRenamed("sum(links)", "n").collect()}
+    assert got == {x.tobytes(): 1 for x in np.concatenate([a[:400], b[:400]])}
+    other = {x.tobytes(): y.tobytes() for x, y in zip(a[:400], b[:400])}
+    assert dict(rows_of(simhash.components(rows.select("a", "b")))) == {max(p): min(p) for p in other.items()}
+
+
+@pytest.mark.parametrize("items, radius", [(10, 48), (1 << 17, 48), (1 << 19, 20), (1 << 14, 60), (300, 3), (300, 0)])
+def test_each_near_pair_comes_from_one_block(items, radius):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 64, (300, 4), dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, flipped(rng, base, rng.integers(1, 70, 300)), flipped(rng, base[:3].repeat(20, axis=0), rng.integers(1, 40, 60))]), axis=0)
+    plan = simhash.blocks_plan(items, radius)
+    assert sum(most + 1 for _, _, most in plan) == radius + 1 and simhash.popcount(np.bitwise_or.reduce(simhash.block_masks(plan))[None])[0] == sum(e - s for s, e, _ in plan)
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.triu(np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= radius, 1))}
+    for at in (None, 250):
+        found = [simhash.near_pairs(fp[:at], None if at is None else fp[at:], plan, k, radius) for k in range(len(plan))]
+        got = [(int(i), int(j) + (at or 0)) for some in found for lot in some for i, j in zip(*lot)]
+        assert sorted((min(p), max(p)) for p in got) == sorted((i, j) for i, j in want if at is None or i < at <= j)
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, None)], [(1, "")], [(1, "one text")]):
         assert simhash.near_duplicates(frame(spark, rows)).isEmpty() and simhash.drop_near_duplicates(frame(spark, rows)).count() == len(rows)
