@@ -3,11 +3,13 @@
 import random
 
 import corpus_pipeline
-from loomgraph.llm import packing, quality
+import numpy as np
+from loomgraph.llm import packing, quality, simhash
 from loomgraph.llm._tokens import encoder
 from tests.llm.data import EDGES, prose
 from tests.llm.test_quality import made
 from tests.llm.test_repeats import brute, line_runs
+from tests.llm.test_search import edited
 
 
 def test_stages(spark, tmp_path):
@@ -53,6 +55,21 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, run.collect()), key=repr) == sorted(map(tuple, kept["pack"]), key=repr), "run gives what the stages give one by one"
 
 
+def test_near_dedup_loses_no_pair_at_the_radius(spark, tmp_path):
+    """Edited texts, many of them 40 to 48 bits off: of every group by brute force one document stays."""
+    rng = random.Random(17)
+    texts = [prose(rng, rng.randint(80, 200)) for _ in range(200)]
+    texts += [edited(rng, t, rng.uniform(0.1, 0.2)) for t in texts]
+    fp = simhash.fingerprints(*simhash.doc_words(texts), len(texts))
+    bits = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    assert (np.triu(bits >= 40, 1) & (bits <= simhash.RADIUS)).sum() > 50
+    group = np.arange(len(texts))
+    for _ in group:
+        group = np.where(bits <= simhash.RADIUS, group[None], len(texts)).min(axis=1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == np.unique(group).tolist()
+
+
 def test_decisions_on_the_tables(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
