@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.schema import EDGE_DDL, EDGE_KEY, METADATA_DDL, NODE_DDL
+from loomgraph.operators.tables import grouped
 
 #: Buckets of a new store; for a hundred terabytes, give some thousands.
 BUCKETS = 32
@@ -22,14 +23,14 @@ BUCKETS = 32
 def upsert_nodes(rows: DataFrame) -> DataFrame:
     """One row for each key, the last by ``ord``, at the place (``ord``) of the first."""
     values = [c for c in rows.columns if c not in ("qualified_name", "ord")]
-    last = rows.groupBy("qualified_name").agg(F.max_by(F.struct(*values), "ord").alias("_v"), F.min("ord").alias("ord"))
+    last = grouped(rows, "qualified_name").agg(F.max_by(F.struct(*values), "ord").alias("_v"), F.min("ord").alias("ord"))
     return last.select(*[F.col(c) if c in ("qualified_name", "ord") else F.col("_v").getField(c).alias(c) for c in rows.columns])
 
 
 def upsert_edges(rows: DataFrame) -> DataFrame:
     """One row for each (kind, source, target, file, line): place of the first, other values of the last."""
     values = [c for c in rows.columns if c not in (*EDGE_KEY, "ord")]
-    last = rows.groupBy(*EDGE_KEY).agg(*[F.max_by(c, "ord").alias(c) for c in values], F.min("ord").alias("ord"))
+    last = grouped(rows, *EDGE_KEY).agg(*[F.max_by(c, "ord").alias(c) for c in values], F.min("ord").alias("ord"))
     return last.select(rows.columns)
 
 
