@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.joins import edges_among
 from loomgraph.operators.schema import DEPENDENCY_KINDS
-from loomgraph.operators.tables import settings, staged
+from loomgraph.operators.tables import grouped, settings, staged
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """(source_qualified, target_qualified, kind): parallel edges as one, of the kind of the last by ``ord``."""
-    return edges.groupBy("source_qualified", "target_qualified").agg(F.max_by("kind", "ord").alias("kind"))
+    return grouped(edges, "source_qualified", "target_qualified").agg(F.max_by("kind", "ord").alias("kind")).drop("_hash")
 
 
 def marked_links(edges: DataFrame) -> DataFrame:
