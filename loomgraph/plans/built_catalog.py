@@ -20,7 +20,7 @@ from loomgraph.functions.columns import decoded, last_segment
 from loomgraph.operators import ingest, lookup, patterns, xref
 from loomgraph.operators.schema import EDGE_DDL
 from loomgraph.operators.store import GraphStore, to_json_rows
-from loomgraph.operators.tables import shared_dir
+from loomgraph.operators.tables import shared_dir, staged
 from loomgraph.plans.parser_cases import CASES, Case
 from loomgraph.sources import files as sources, registry
 from loomgraph.sources.config import Config, write_default
@@ -50,6 +50,11 @@ def _case_files(spark: SparkSession, sf_dir: str, case: Case) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("/c/"), key, F.lit(f"/{case.file}")).alias("file_path"), F.encode(F.replace(F.lit(case.text), F.lit("{k}"), key), "UTF-8").alias("content"))
 
 
+def _parsed(files: DataFrame) -> DataFrame:
+    """Files parsed once, as in a build: more than one branch of a query reads them."""
+    return staged(parse_files(files), "parsed")
+
+
 def _case_sql(case: Case, columns: list[str], rows: list[tuple]) -> str:
     def value(x: Any) -> str:
         return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower()
@@ -66,7 +71,7 @@ def _add_case(name: str, case: Case) -> None:
     if case.edges:
 
         def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-            parsed = parse_files(_case_files(spark, sf_dir, case))
+            parsed = _parsed(_case_files(spark, sf_dir, case))
             return parsed_edges(parsed, parsed.select("file_path")).select(_EDGE)
 
         _query(f"edges_of_{name}", _case_sql(case, _EDGE, case.edges))(edges)
@@ -82,7 +87,7 @@ def _local_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _case_files(spark, sf_dir, CASES["hcl"])
     key = F.regexp_extract("file_path", r"/(\d+)/", 1)
     near = files.filter(key.cast("long") % 2 == 0).select(F.concat(F.lit("/c/"), key, F.lit("/near"), key, F.lit("/main.tf")).alias("file_path"), F.encode(F.lit(""), "UTF-8").alias("content"))
-    parsed = parse_files(files.unionByName(near))
+    parsed = _parsed(files.unionByName(near))
     return parsed_edges(parsed, parsed.select("file_path")).filter("kind = 'USES_MODULE'").select("kind", "source_qualified", "target_qualified")
 
 
@@ -118,7 +123,7 @@ def _registered_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = list(xref.DETECTORS)
     try:
         xref.register_detector(near)
-        parsed = parse_files(_case_files(spark, sf_dir, CASES["hcl"]))
+        parsed = _parsed(_case_files(spark, sf_dir, CASES["hcl"]))
         found = xref.detect(parsed_nodes(parsed), parsed_edges(parsed, parsed.select("file_path")))
         assert found.columns == [f.split()[0] for f in EDGE_DDL.split(", ")]
         return found.filter("kind = 'NEAR'").select("kind", "source_qualified", "target_qualified")
@@ -137,7 +142,7 @@ def _decoded_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("resolved_symbols", "SELECT '/c/' || s_suppkey || '/p.py::' || c AS source_qualified, '/c/' || s_suppkey || '/p.py::' || t AS target_qualified FROM supplier, LATERAL (VALUES ('N' || s_suppkey || '.read', 'inner'), ('N' || s_suppkey || '.test_read', 'N' || s_suppkey || '.read')) v(c, t) UNION ALL SELECT '/c/' || s_suppkey || '/p.py', '/c/' || s_suppkey || '/p.py::main' || s_suppkey FROM supplier")
 def _resolved_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The opt-in: calls whose text names a function of the same file lead to it."""
-    parsed = parse_files(_case_files(spark, sf_dir, CASES["python"]))
+    parsed = _parsed(_case_files(spark, sf_dir, CASES["python"]))
     edges = xref.resolve_symbols(parsed_nodes(parsed), parsed_edges(parsed, parsed.select("file_path")))
     return edges.filter("kind = 'CALLS' AND target_qualified LIKE '/c/%'").select("source_qualified", "target_qualified").distinct()
 
@@ -180,7 +185,7 @@ def _metadata_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("rows_as_dictionaries", "SELECT '/c/' || s_suppkey || '/values.yaml' AS source, '/c/' || s_suppkey || '/values.yaml::' || x AS target, 'extra file_path kind line ord source target' AS keys FROM supplier, (VALUES ('replicas'), ('image')) v(x)")
 def _rows_as_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse_files(_case_files(spark, sf_dir, CASES["helm_values"]))
+    parsed = _parsed(_case_files(spark, sf_dir, CASES["helm_values"]))
     rows = to_json_rows(parsed_edges(parsed, parsed.select("file_path")))
     return spark.createDataFrame([(r["source"], r["target"], " ".join(sorted(r))) for r in rows], "source string, target string, keys string")
 

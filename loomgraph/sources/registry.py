@@ -109,7 +109,9 @@ def parse_files(files: DataFrame, base: int = 0, arguments: bool = False) -> Dat
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
-    ordered = files.select("file_path", "content").filter("file_path IS NOT NULL AND content IS NOT NULL").repartitionByRange("file_path").sortWithinPartitions("file_path")
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a number given, as adaptive execution would join small files to one task
+    ordered = files.select("file_path", "content").filter("file_path IS NOT NULL AND content IS NOT NULL").repartitionByRange(tasks, "file_path").sortWithinPartitions("file_path")
     return ordered.mapInArrow(run, PARSED_DDL)
 
 
